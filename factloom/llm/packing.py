@@ -9,8 +9,10 @@ lost executor repeats one level at most and the ids that were given stay.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,44 +32,40 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECE}, sequence_id long, offset long, load int, open boolean, node long"
 
 
+#: Byte-level vocabularies write each byte as a sign of its own: the printable ones as they are, the others from U+0100 on.
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
 class WordTokenizer:
     """Ids of whole texts from a word-level tokenizer, each distinct word encoded once.
 
     Words never cross white space in this vocabulary's pre-tokenizer, so a text's
     ids are those of its chunks between ASCII white space in a row; whatever else
-    counts as white space stays inside a chunk, for the tokenizer to see.  New
-    chunks are encoded many at a time with ``MARK`` between them, a word of its own
-    whose id tells where each ends; a chunk that holds it is encoded alone.
+    counts as white space stays inside a chunk, for the tokenizer to see.
     """
 
-    MARK = "\x01"
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.mark,) = self.ids(self.MARK)
         self.clear()
 
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.lengths, self.starts, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def learn(self, words: list[str]) -> None:
-        if any(self.MARK in w for w in words):
-            got = [self.ids(w) for w in words]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
-        else:
-            lines = [f" {self.MARK} ".join(words[k : k + 400]) + f" {self.MARK}" for k in range(0, len(words), 400)]
-            flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-            ends = np.flatnonzero(flat == self.mark)
-            size = np.diff(ends, prepend=-1) - 1
-            flat = flat[flat != self.mark]
-        assert len(size) == len(words)
+        """A word of lower-case letters goes to the vocabulary's model as it is; all else through the whole tokenizer."""
+        model, got = self.tokenizer.model, []
+        for w in words:
+            if w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) and w == w.lower():
+                if not w.isascii():
+                    w = w.encode().decode("latin-1").translate(BYTE_SIGNS)
+                got.append([t.id for t in model.tokenize(w)])
+            else:
+                got.append(self.tokenizer.encode(w, add_special_tokens=False).ids)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(size) - size])
@@ -80,13 +78,13 @@ class WordTokenizer:
         if len(self.index) > WORDS:
             self.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        # A letter and the signs after it are different words already; apart, they are seen more often.
-        texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,!|&*%$#?;:]+)", r"\1 \2")
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token may come of lower-casing
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # nothing may come or go of a special token
+            # A letter and the signs after it are different words already; apart, they are seen more often.
+            texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,!|&*%$#?;:]+)", r"\1 \2")
             texts = pc.ascii_lower(texts)  # of a slice it would be wrong; the line above has copied it
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         index = self.index
         new = [w for w in words if w not in index]
         if new:
