@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, secrets, url_filter
+from . import language, packing, quality, secrets, url_filter, vectors
 from .common import held_out, table
 
 
@@ -46,6 +46,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string, source string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -56,10 +60,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.ann_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_language_id": op3_language_id,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_url_filter": op8_url_filter,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_ann_search": op10_ann_search,
 }
