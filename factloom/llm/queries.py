@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, secrets, url_filter, vectors
+from . import jaccard, language, mixing, packing, quality, secrets, url_filter, vectors
 from .common import held_out, table
 
 
@@ -40,6 +40,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.probabilities(table(spark, sf_dir, "documents"), share=0.7, power=0.7)
+    return found.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), (mixing.draw() < F.col("_probability")).alias("drawn"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -67,6 +76,8 @@ def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_language_id": op3_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_source_mixing": op5_source_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_url_filter": op8_url_filter,
