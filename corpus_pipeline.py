@@ -1,4 +1,72 @@
-"""Documents to training sequences, stage by stage."""
-from factloom.llm.stages import STAGES, run
+"""From documents to training sequences, in five stages.
 
+Each stage takes what the one before it kept and calls one operator: low quality goes,
+one document of each group of near copies stays, secrets are blotted out, sources are
+mixed towards flatter shares, and what remains is packed in sequences of 4096 tokens.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import jaccard, mixing, packing, quality, secrets
+from factloom.llm.common import materialise, table
+from factloom.llm.queries import tokenizer_path
+
+#: The part of all tokens that mixing draws, and the power that flattens the sources' shares.
+MIX_SHARE, MIX_POWER = 0.7, 0.7
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts."""
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.score(model) >= 0.5)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group; documents without words, and those without an id, stay."""
+    groups = materialise(jaccard.near_duplicates(docs), "groups")
+    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(docs.columns) if repeated else kept
+
+
+def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets replaced by a mark."""
+    return secrets.redact(docs, secrets.survey(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A draw of documents whose sources, languages and topics have raked shares of tokens."""
+    return mixing.mix(docs, share=MIX_SHARE, power=MIX_POWER)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed best-fit."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", blot_secrets),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+#: SQL expresses neither the classifier nor the packing; tests hold the stages against plain versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written in the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, name)
+    return docs
