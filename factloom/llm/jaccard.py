@@ -11,10 +11,10 @@ linked sets share a shingle of their prefixes, and moreover so many that what is
 could not make up for fewer: pairs are counted over the lists, and only those with
 enough in common are compared.  How often shingles occur in prefixes is counted over all
 documents; those above ``HEAVY`` are *heavy*, go last in the order, and their lists
-are not paired out: a list first meets its own smallest members (a star); what that
-leaves in several components meets a few members of the largest ones; and only pairs that are
-then still apart are counted and compared like the others.  So a large group of near copies costs
-its size and not its square, and no link is lost.
+are not paired out: a list first meets its own most typical member (a star), and only pairs that are
+then still in different components are looked at.  Of those, a pair without a common light shingle must share
+so many of the heavy ones in its prefixes that the first of them comes early in both, which leaves
+few.  So a large group of near copies costs its size and not its square, and no link is lost.
 """
 
 from __future__ import annotations
@@ -100,15 +100,16 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n, sig`` of every row: the size and a digest of its set."""
+    """``doc_id, n, sig, few`` of every row: the size and a digest of its set, and of a small set the shingles themselves."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(len(s), signature(s)) for _, s in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", "n", "sig"])
+            got = [(len(s), signature(s), s.tobytes() if 0 < len(s) <= SMALL_MOST else None) for _, s in shingle_sets(batch.column(1))]
+            cols = list(zip(*got, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True))], names=["doc_id", "n", "sig", "few"])
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, n int, sig long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n int, sig long, few binary")
 
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -159,8 +160,8 @@ def _collect_heavy(counts: DataFrame) -> Heavy:
     return Heavy(rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64))
 
 
-def subset_links(texts: DataFrame, x: int, parts: int) -> DataFrame:
-    """Links ``a, b`` among sets of at most ``x`` shingles, enough of them to connect all that are linked."""
+def subset_links(small: DataFrame, x: int, parts: int) -> DataFrame:
+    """Links ``a, b`` among the sets ``sig, few`` of at most ``x`` shingles, enough of them to connect all that are linked."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, int]] = []
@@ -169,9 +170,8 @@ def subset_links(texts: DataFrame, x: int, parts: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.uint64).view(np.int64)), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int64(), pa.int32()), strict=True))], names=["key", "c", "sig", "n"])
 
-        for sig, s in _distinct_sets(batches):
-            if len(s) > x:
-                continue
+        for sig, few in (r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            s = np.frombuffer(few, np.uint64)
             hashed = mixed(s)
             for c in subset_sizes(len(s), x):
                 chosen = np.array(list(combinations(range(len(s)), c)))
@@ -196,11 +196,11 @@ def subset_links(texts: DataFrame, x: int, parts: int) -> DataFrame:
         pairs = np.unique(np.column_stack([sig[first][link], sig[link]]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return texts.mapInArrow(spread, "key long, c int, sig long, n int").repartition(parts, "key").mapInArrow(meet, "a long, b long").distinct()
+    return small.select("sig", "few").mapInArrow(spread, "key long, c int, sig long, n int").repartition(parts, "key").mapInArrow(meet, "a long, b long").distinct()
 
 
 def postings(texts: DataFrame, heavy: Heavy, least: int) -> DataFrame:
-    """``h, sig, n, heavies, is_heavy``: the prefixes of sets of at least ``least`` shingles."""
+    """``h, sig, n, heavies, turn``: the prefixes of sets of at least ``least`` shingles; ``turn`` counts the heavy ones from 1, light ones have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, who, size = [], [], 0
@@ -208,7 +208,8 @@ def postings(texts: DataFrame, heavy: Heavy, least: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             sig, n, many, lengths = (np.array(c) for c in zip(*((w[0], w[1], int(w[2].sum()), len(w[2])) for w in who), strict=True))
             wide = lambda v, t: pa.array(np.repeat(v, lengths).astype(t))
-            return pa.RecordBatch.from_arrays([_signed(np.concatenate(h)), wide(sig, np.int64), wide(n, np.int32), wide(many, np.int32), pa.array(np.concatenate([w[2] for w in who]))], names=["h", "sig", "n", "heavies", "is_heavy"])
+            turn = np.concatenate([np.where(w[2], np.cumsum(w[2]), 0) for w in who]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([_signed(np.concatenate(h)), wide(sig, np.int64), wide(n, np.int32), wide(many, np.int32), pa.array(turn)], names=["h", "sig", "n", "heavies", "turn"])
 
         for sig, s in _distinct_sets(batches):
             if len(s) < least:
@@ -224,7 +225,7 @@ def postings(texts: DataFrame, heavy: Heavy, least: int) -> DataFrame:
         if who:
             yield out()
 
-    return texts.mapInArrow(run, "h long, sig long, n int, heavies int, is_heavy boolean")
+    return texts.mapInArrow(run, "h long, sig long, n int, heavies int, turn int")
 
 
 def _lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], minor: str) -> dict[str, np.ndarray] | None:
@@ -259,9 +260,11 @@ def _pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, c: int) -> di
     return {"a": x["sig"][i], "na": x["n"][i], "ha": x["heavies"][i], "b": x["sig"][j], "nb": x["n"][j], "hb": x["heavies"][j], "c": np.minimum(count * c, KNOWN)}
 
 
+_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+
+
 def _pair_batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32()) * 2 + (pa.int32(),)
-    return pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
+    return pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(rows.values(), _KINDS, strict=True)], names=list(rows))
 
 
 def _in_reach(x: dict[str, np.ndarray], active: np.ndarray, c: int) -> Iterator[dict[str, np.ndarray]]:
@@ -283,113 +286,126 @@ def _in_reach(x: dict[str, np.ndarray], active: np.ndarray, c: int) -> Iterator[
         yield _pairs(x, np.concatenate(held_i), np.concatenate(held_j), c)
 
 
-def list_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of the light lists, counted within each task."""
+HOT = "h long, sig long, n int, heavies int, turn int"
+
+
+def met_in_lists(lists: DataFrame) -> DataFrame:
+    """Of light lists the pairs, counted within each task (``h`` is null); of heavy ones of several members the entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _lists(batches, ("h", "sig", "n", "heavies"), "sig")
-        if x is not None:
-            for rows in _in_reach(x, np.arange(len(x["h"])), 1):
-                yield _pair_batch(rows)
+        x = _lists(batches, ("h", "sig", "n", "heavies", "turn"), "sig")
+        if x is None:
+            return
+        for rows in _in_reach(x, np.flatnonzero(x["turn"] == 0), 1):
+            pairs = _pair_batch(rows)
+            none = [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*pairs.columns, *none], names=[*pairs.schema.names, "h", "sig", "n", "heavies", "turn"])
+        hot = (x["turn"] > 0) & (x["length"] > 1)
+        if hot.any():
+            none = [pa.nulls(int(hot.sum()), t) for t in _KINDS]
+            own = [pa.array(x[k][hot]) for k in ("h", "sig", "n", "heavies", "turn")]
+            yield pa.RecordBatch.from_arrays([*none, *own], names=["a", "na", "ha", "b", "nb", "hb", "c", "h", "sig", "n", "heavies", "turn"])
+
+    return lists.mapInArrow(run, f"{PAIR}, {HOT}")
 
-    return lists.mapInArrow(run, PAIR)
+
+def _needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many heavy shingles of their prefixes sets of these sizes must share if they share no light one, at least."""
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    return np.maximum(shared(n, m) - np.maximum(n - prefix_size(n), m - prefix_size(m)), 1)
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """Of each heavy list: its smallest member with all in reach, then the next smallest out of reach, and so on; and neighbours by size."""
+    """Of each heavy list: its most typical member (the least part of light shingles) with all others that it may be linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _lists(batches, ("h", "sig", "n", "heavies"), "sig")
+        x = _lists(batches, ("h", "sig", "n", "heavies", "turn"), "sig")
         if x is None:
             return
-        i, j = [], []
-        for b in np.flatnonzero((x["length"] > 1) & (x["left"] == x["length"] - 1)):
-            end = b + x["length"][b]
-            while b < end - 1:
-                reach = b + 1 + int(np.searchsorted(x["n"][b + 1 : end], 5 * int(x["n"][b]) // 4, side="right"))
-                j.append(np.arange(b + 1, reach))
-                i.append(np.full(len(j[-1]), b))
-                b = reach
-        if i:
-            yield _pair_batch(_pairs(x, np.concatenate(i), np.concatenate(j), KNOWN))
+        light = (prefix_size(x["n"]) - x["heavies"]) / x["n"]
+        order = np.lexsort((x["sig"].view(np.uint64), light, x["list"]))
+        centre = order[np.searchsorted(x["list"][order], np.arange(int(x["list"][-1]) + 1))][x["list"]]
+        i = np.arange(len(centre))
+        keep = (i != centre) & (5 * np.minimum(x["n"], x["n"][centre]).astype(np.int64) >= 4 * np.maximum(x["n"], x["n"][centre]))
+        keep &= np.minimum(x["heavies"], x["heavies"][centre]) >= _needed(x["n"], x["n"][centre])
+        yield _pair_batch(_pairs(x, centre[keep], i[keep], KNOWN))
 
     return lists.mapInArrow(run, PAIR)
 
 
-def apart(lists: DataFrame, whole: bool, turn: int) -> DataFrame:
-    """Pairs of different components of heavy lists (with ``label``): all of them, or each member with a few of the four largest components."""
+def apart(lists: DataFrame) -> DataFrame:
+    """Pairs of different components of heavy lists (with ``label``) that may be linked without a common light shingle.
+
+    They share ``_needed`` heavy ones at least, so the first shared one is followed by as many less one in both prefixes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _lists(batches, ("h", "sig", "n", "heavies", "label"), "sig")
+        x = _lists(batches, ("h", "sig", "n", "heavies", "turn", "label"), "sig")
         if x is None:
             return
+        room = x["heavies"] - x["turn"] + 1
+        names = np.lexsort((x["label"], x["list"]))
+        many = np.bincount(x["list"][names][1:], (x["list"][names][1:] == x["list"][names][:-1]) & (x["label"][names][1:] != x["label"][names][:-1]), int(x["list"][-1]) + 1) > 0
         i, j, held = [], [], 0
-        for b in np.flatnonzero((x["length"] > 1) & (x["left"] == x["length"] - 1)):
+        for b in np.flatnonzero(many[x["list"]] & (x["left"] == x["length"] - 1)):
             rows = np.arange(b, b + x["length"][b])
-            label = x["label"][rows]
-            names, own, count = np.unique(label, return_inverse=True, return_counts=True)
-            if len(names) == 1:
-                continue
-            if whole:
-                for k in rows[:-1]:
-                    to = np.arange(k + 1, rows[-1] + 1)
-                    to = to[(x["label"][to] != x["label"][k]) & (5 * int(x["n"][k]) >= 4 * x["n"][to])]
+            for k in rows[:-1]:
+                to = np.arange(k + 1, rows[-1] + 1)
+                to = to[: np.searchsorted(x["n"][to], 5 * int(x["n"][k]) // 4, side="right")]
+                to = to[(x["label"][to] != x["label"][k]) & (np.minimum(room[to], room[k]) >= _needed(np.full(len(to), x["n"][k]), x["n"][to]))]
+                if len(to):
                     i.append(np.full(len(to), k))
                     j.append(to)
                     held += len(to)
-                    if held > FLUSH:
-                        yield _pair_batch(_pairs(x, np.concatenate(i), np.concatenate(j), 1))
-                        i, j, held = [], [], 0
-            else:
-                shuffled = mixed(x["sig"][rows].view(np.uint64) + np.uint64(turn))
-                for k in np.argsort(-count, kind="stable")[:4]:
-                    mine = rows[own == k][np.argsort(shuffled[own == k])[:6]]
-                    others = rows[own != k]
-                    i.append(np.repeat(mine, len(others)))
-                    j.append(np.tile(others, len(mine)))
-                near = 5 * np.minimum(x["n"][i[-1]], x["n"][j[-1]]).astype(np.int64) >= 4 * np.maximum(x["n"][i[-1]], x["n"][j[-1]])
-                i[-1], j[-1] = i[-1][near], j[-1][near]
+                if held > FLUSH:
+                    yield _pair_batch(_pairs(x, np.concatenate(i), np.concatenate(j), KNOWN))
+                    i, j, held = [], [], 0
         if i:
-            yield _pair_batch(_pairs(x, np.concatenate(i), np.concatenate(j), 1 if whole else KNOWN))
+            yield _pair_batch(_pairs(x, np.concatenate(i), np.concatenate(j), KNOWN))
 
     return lists.mapInArrow(run, PAIR)
 
 
-def enough(pairs: DataFrame, counted: str) -> DataFrame:
-    """Pairs of which enough is common: what was counted, what wasn't (``counted`` is light or heavy), and all behind the prefixes."""
+def enough(pairs: DataFrame) -> DataFrame:
+    """Pairs of which enough is common: the light shingles that were counted, all heavy ones of the prefixes, and all behind the prefixes."""
     p = lambda n: F.expr(f"{n} - (4 * {n} + 4) div 5 + 1")
-    missed = F.least("ha", "hb") if counted == "light" else F.least(p("na") - F.col("ha"), p("nb") - F.col("hb"))
     need = F.expr("(4 * (na + nb) + 8) div 9")
     behind = F.greatest(F.col("na") - p("na"), F.col("nb") - p("nb"))
     whole = pairs.groupBy("a", "na", "ha", "b", "nb", "hb").agg(F.sum("c").alias("c"))
-    return whole.where((F.col("na") * 5 >= F.col("nb") * 4) & (F.col("c") + missed + behind >= need)).select("a", "na", "b", "nb")
+    return whole.where((F.col("na") * 5 >= F.col("nb") * 4) & (F.col("c") + F.least("ha", "hb") + behind >= need)).select("a", "b")
 
 
-def compare(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links among ``pairs``, each pair's whole sets compared."""
-    spark = texts.sparkSession
+def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links among ``pairs``, each pair's whole sets compared.
+
+    ``docs`` has ``at`` (a hash of the id) and the text, ``classes`` the ``at`` of a document of each set.
+    """
+    spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    word = F.pmod(F.col("sig"), F.lit(FILTER_BITS))
-    rows = ends.groupBy(F.shiftright(word, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(sig, {FILTER_BITS}) % 64 as int)))").alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    places = ends.join(classes, "sig").select(F.expr(f"pmod(at, {FILTER_BITS})").alias("at"))
+    rows = places.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     sent = spark.sparkContext.broadcast(bits)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, sigs, sets, size = sent.value, [], [], 0
+        def asked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(0).to_numpy() % FILTER_BITS
+                yield batch.select([1]).filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
+
+        sigs, sets, size = [], [], 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sets, pa.binary())], names=["sig", "shingles"])
 
-        for sig, s in _distinct_sets(batches):
-            at = sig % FILTER_BITS
-            if int(bits[at >> 6]) >> (at & 63) & 1:
-                sigs.append(sig)
-                sets.append(s.tobytes())
-                size += len(sets[-1])
-                if size > 4_000_000:
-                    yield out()
-                    sigs, sets, size = [], [], 0
+        for sig, s in _distinct_sets(asked()):
+            sigs.append(sig)
+            sets.append(s.tobytes())
+            size += len(sets[-1])
+            if size > 4_000_000:
+                yield out()
+                sigs, sets, size = [], [], 0
         if sigs:
             yield out()
 
@@ -404,14 +420,13 @@ def compare(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # Copies in several tasks give a set several times; the links are made distinct below.
-    sets = texts.mapInArrow(wanted, "sig long, shingles binary").dropDuplicates(["sig"])
+    sets = docs.mapInArrow(wanted, "sig long, shingles binary").dropDuplicates(["sig"])
     left = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(both, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", stars: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
     A text without words, null ones included, has no shingles and is linked with
@@ -421,52 +436,45 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", st
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(text)
+    place = F.xxhash64(F.col(key).cast("long"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     described = materialise(describe(docs, key, text), "described")
+    full = described.where("n > 0")
+    # Of each set one document whose text is read again, where the set itself is needed.
+    classes = materialise(full.groupBy("sig").agg(F.min("doc_id").alias("first"), F.min(F.xxhash64("doc_id")).alias("at")), "classes")
 
     counts = materialise(count_prefixes(texts, None).where(f"c > {HEAVY // 4}"), "counts")
-    first = _collect_heavy(counts)
-    total = described.where("n > 0").agg(F.count(F.lit(1)), F.sum(F.expr("n - (4 * n + 4) div 5 + 1"))).first()
-    again = materialise(count_prefixes(texts, first).where(f"c > {HEAVY // 4}"), "counts")
+    again = materialise(count_prefixes(texts, _collect_heavy(counts)).where(f"c > {HEAVY // 4}"), "counts")
     counts = counts.unionByName(again).groupBy("h").agg(F.max("c").alias("c"))
-    meets = counts.where(f"c <= {HEAVY}").agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
     heavy = _collect_heavy(counts)
-    sizes = dict(described.where(f"n between 1 and {2 * SMALL_MOST}").groupBy("n").count().collect())
-    x = boundary(sizes, float(meets) / max(1, total[1] or 0))
-
-    links = [materialise(subset_links(texts, x, parts), "subset-links")]
-    lists = postings(texts, heavy, -(-4 * (x + 1) // 5))
-    light = list_pairs(lists.where("not is_heavy").repartition(parts, "h"))
-    candidates = materialise(enough(light, "light"), "light-pairs")
-    hot = materialise(lists.where("is_heavy").drop("is_heavy"), "heavy-lists")
-    star = star_pairs(hot.repartition(parts, "h"))
-    done = materialise(candidates.unionByName(enough(star, "light")).distinct(), "pairs")
-    links.append(materialise(compare(texts, done), "links"))
-    for turn in range(stars + 1):
-        whole = turn == stars
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        labels = connected(edges)
-        if hot.limit(1).count() == 0:
-            break
-        labelled = hot.join(labels, hot["sig"] == labels["node"], "left").select("h", "sig", "n", "heavies", F.coalesce("label", "sig").alias("label"))
-        more = enough(apart(labelled.repartition(parts, "h"), whole, turn), "heavy" if whole else "light")
-        more = materialise(more.join(done, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "more-pairs")
-        if more.limit(1).count() == 0:
-            if whole:
-                break
-            continue
-        done = done.unionByName(more)
-        links.append(materialise(compare(texts, more), "links"))
-        if whole:
-            edges = edges.unionByName(links[-1])
-            labels = connected(edges)
-
-    classes = described.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    named = materialise(classes.join(labels, classes["sig"] == labels["node"], "left").select("sig", "first", F.coalesce("label", "sig").alias("label")), "classes")
+    meets = counts.where(f"c <= {HEAVY}").agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
+    entries = full.agg(F.sum(F.expr("n - (4 * n + 4) div 5 + 1"))).first()[0] or 0
+    sizes = dict(full.where(f"n <= {2 * SMALL_MOST}").groupBy("n").count().collect())
+    x = boundary(sizes, float(meets) / max(1, entries))
+
+    small = full.where(F.col("n") <= x).groupBy("sig").agg(F.first("few").alias("few"))
+    links = materialise(subset_links(small, x, parts), "subset-links")
+    lists = postings(texts, heavy, -(-4 * (x + 1) // 5)).repartition(parts, "h")
+    met = materialise(met_in_lists(lists), "lists")
+    hot = met.where("h is not null").select("h", "sig", "n", "heavies", "turn")
+    light = enough(met.where("h is null").select("a", "na", "ha", "b", "nb", "hb", "c"))
+    star = star_pairs(hot.repartition(parts, "h")).select("a", "b")
+    done = materialise(light.unionByName(star).distinct(), "pairs")
+    placed = docs.select(place.alias("at"), F.col(text).alias("text"))
+    links = links.unionByName(materialise(compare(placed, done, classes), "links"))
+    labels = connected(links)
+    if hot.limit(1).count():
+        labelled = hot.join(labels, hot["sig"] == labels["node"], "left").select("h", "sig", "n", "heavies", "turn", F.coalesce("label", "sig").alias("label"))
+        rest = apart(labelled.repartition(parts, "h")).select("a", "b").distinct()
+        rest = materialise(rest.join(done, ["a", "b"], "left_anti"), "pairs-apart")
+        if rest.limit(1).count():
+            more = materialise(compare(placed, rest, classes), "links-apart")
+            if more.limit(1).count():
+                labels = connected(links.unionByName(more))
+
+    named = materialise(classes.join(labels, classes["sig"] == labels["node"], "left").select("sig", "first", F.coalesce("label", "sig").alias("label")), "named")
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     known = named.join(lowest, "label").select("sig", "component_id")
-    full = described.where("n > 0").join(known, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    linked = full.join(known, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     empty = described.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    return linked.unionByName(empty)
