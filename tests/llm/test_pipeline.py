@@ -1,0 +1,52 @@
+"""The stages, each on its own input."""
+
+import random
+
+import pytest
+
+import corpus_pipeline as pipeline
+from factloom.llm import quality
+
+from conftest import SMALL
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def test_order():
+    assert [name for name, _ in pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "secret scans", "mixing sources", "best-fit packing"]
+
+
+def test_filtering_stages_keep_columns_and_clean_documents(spark, docs):
+    good = {r.doc_id for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1").collect()}
+    kept = pipeline.keep_quality(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert len(good & ids) >= 0.97 * len(good)
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(0)
+    base = " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(99)) for _ in range(100))
+    rows = [(3, base, "l", "s", 1), (1, base + " x", "l", "s", 1), (2, "other words that are not like it at all", "l", "s", 1), (4, "", "l", "s", 0), (5, None, None, None, None), (5, None, None, None, None), (None, base, "l", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.drop_near_copies(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 4, 5, 5, None], key=str)
+
+
+def test_secrets_go_and_documents_stay(spark, docs):
+    out = pipeline.blot_secrets(spark, docs, SMALL)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.where("text rlike 'AKIA[A-Z0-9]{14}'").count() == 0 < docs.where("text rlike 'AKIA[A-Z0-9]{14}'").count()
+
+
+def test_whole_run(spark, docs):
+    out = pipeline.run(spark, SMALL)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    packed = {r.doc_id for r in out.select("doc_id").distinct().collect()}
+    model = quality.learn(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    accepted = {r.doc_id for r in quality.classify(docs, model).where("predicted = 1").select("doc_id").collect()}
+    assert packed and packed <= accepted and len(packed) > 0.4 * len(accepted)
