@@ -47,15 +47,16 @@ def discriminating_keys(facts: DataFrame) -> DataFrame:
 
 
 def signed(facts: DataFrame) -> DataFrame:
-    """Prepared facts with their cell's ``keys`` and their ``sig``."""
+    """Prepared facts with their cell's ``keys``, their ``sig`` over them, and ``position``: its value, or null, for each key."""
     keys = discriminating_keys(facts)
     out = facts.join(keys, list(CELL), "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
-    return out.withColumn("sig", qualifiers.signature(F.col("pairs"), F.col("keys")))
+    signed_facts = out.withColumn("sig", qualifiers.signature(F.col("pairs"), F.col("keys")))
+    return signed_facts.withColumn("position", F.transform("keys", lambda k: F.try_element_at("sig", k)))
 
 
 def paired(facts: DataFrame) -> DataFrame:
     """Comparable pairs of valued facts of a cell as structs ``a`` and ``b``, the smaller id first."""
-    slim = facts.where("norm is not null").select(*CELL, "keys", F.struct("fact_id", "doc_id", "predicate", "norm", "sig", "inherited", "trusted").alias("side"))
+    slim = facts.where("norm is not null").select(*CELL, "keys", F.struct("fact_id", "doc_id", "predicate", "norm", "position", "inherited", "trusted").alias("side"))
     left = slim.withColumnRenamed("side", "a")
     right = slim.select(*CELL, F.col("side").alias("b"))
     pairs = left.join(right, list(CELL)).where(F.col("a.fact_id") < F.col("b.fact_id"))
@@ -68,23 +69,28 @@ def _raw(predicate: Column) -> Column:
 
 def compared(pairs: DataFrame) -> DataFrame:
     """A verdict for each pair of the decision table; pairs that it leaves out have none."""
-    both = F.map_zip_with("a.sig", "b.sig", lambda k, x, y: F.array(x, y))
-    conflict = F.map_filter(both, lambda k, v: v[0].isNotNull() & v[1].isNotNull() & (v[0] != v[1]))
-    missing = F.filter("keys", lambda k: F.try_element_at("a.sig", k).isNull() | F.try_element_at("b.sig", k).isNull())
-    shown = F.map_filter(both, lambda k, v: v[0].isNull() | v[1].isNull())
+    # Positions are aligned with the sorted keys, so a pair is compared without building maps; those are made for the rows that stay.
+    numbers = F.zip_with("a.position", "b.position", lambda x, y: F.when(x.isNull() | y.isNull(), 1).when(x != y, 2).otherwise(0))
+    side = lambda s, i: F.get(F.col(f"{s}.position"), i)
+
+    def diff(wanted: int) -> Column:
+        """The keys in a state, with both values; of missing ones those that a side states."""
+        at = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: (F.get("state", i) == wanted) & (side("a", i).isNotNull() | side("b", i).isNotNull()))
+        return F.map_from_arrays(F.transform(at, lambda i: F.get("keys", i)), F.transform(at, lambda i: F.array(side("a", i), side("b", i))))
+
     base = pairs.withColumns(
         {
             "delta": F.abs(F.col("a.norm.value") - F.col("b.norm.value")),
             "tolerance": F.col("a.norm.tolerance") + F.col("b.norm.tolerance"),
-            "conflict": conflict,
-            "missing": missing,
-            "shown": shown,
+            "state": numbers,
         }
-    ).withColumn("agree", F.col("delta") <= F.col("tolerance"))
-    n, agree = F.size("conflict"), F.col("agree")
-    gap = F.size("missing") > 0
-    key = F.get(F.map_keys("conflict"), F.lit(0))
-    no_diff = F.map_filter("conflict", lambda k, v: F.lit(False))
+    ).withColumns({"agree": F.col("delta") <= F.col("tolerance"), "conflicts": F.size(F.filter("state", lambda x: x == 2))})
+    # Most pairs of a busy cell have no verdict: they go before anything is built for them.
+    base = base.where((F.col("conflicts") == 0) | ((F.col("conflicts") == 1) & ~F.col("agree")))
+    n, agree = F.col("conflicts"), F.col("agree")
+    gap = F.array_contains("state", 1)
+    key, first_missing = (F.get("keys", (F.array_position("state", k) - 1).cast("int")) for k in (2, 1))
+    no_diff = F.from_json(F.lit("{}"), "map<string,array<string>>")
     wording = F.create_map(F.lit("predicate"), F.array("a.predicate", "b.predicate"))
 
     def row(verdict: str, reason: Column | str, diff: Column, said: str) -> Column:
@@ -92,16 +98,15 @@ def compared(pairs: DataFrame) -> DataFrame:
         return F.struct(F.lit(verdict).alias("verdict"), reason.alias("reason_code"), diff.alias("qualifier_diff"), F.lit(said).alias("explanation"))
 
     decided = (
-        F.when((n == 1) & ~agree, row("VARIANT_EXPLAINED_BY", F.concat(F.lit("QUALIFIER_DIFF:"), key), F.col("conflict"), "values differ, and so does one qualifier"))
-        .when(n > 0, F.lit(None))
-        .when(gap & agree, row("CORROBORATED", "AGREE_ON_SHARED_QUALIFIERS", F.col("shown"), "values agree within printed precision; not every qualifier is stated"))
-        .when(gap, row("INSUFFICIENT_CONTEXT", F.concat(F.lit("MISSING_QUALIFIER:"), F.get("missing", F.lit(0))), F.col("shown"), "values differ, but a qualifier that matters here is not stated"))
+        F.when(n == 1, row("VARIANT_EXPLAINED_BY", F.concat(F.lit("QUALIFIER_DIFF:"), key), diff(2), "values differ, and so does one qualifier"))
+        .when(gap & agree, row("CORROBORATED", "AGREE_ON_SHARED_QUALIFIERS", diff(1), "values agree within printed precision; not every qualifier is stated"))
+        .when(gap, row("INSUFFICIENT_CONTEXT", F.concat(F.lit("MISSING_QUALIFIER:"), first_missing), diff(1), "values differ, but a qualifier that matters here is not stated"))
         .when(agree, row("CORROBORATED", "SAME_CELL_AGREE", no_diff, "values agree within printed precision"))
         .when(F.col("a.inherited") | F.col("b.inherited"), row("INSUFFICIENT_CONTEXT", "INHERITED_QUALIFIER", no_diff, "a literal of either fact is not in the text it cites"))
         .when(_raw(F.col("a.predicate")) != _raw(F.col("b.predicate")), row("INSUFFICIENT_CONTEXT", "PREDICATE_UNCERTAIN", wording, "the wordings of the predicate differ"))
         .otherwise(row("CONTRADICTION", "SAME_CELL_DISAGREE", no_diff, "same position, values beyond printed precision"))
     )
-    out = base.withColumn("_d", decided).where("_d is not null")
+    out = base.withColumn("_d", decided)
     return out.select(
         verdict_id(F.col("a.fact_id"), F.col("b.fact_id")).alias("verdict_id"),
         "_d.verdict",
