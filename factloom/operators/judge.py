@@ -77,7 +77,9 @@ def judged(pairs: DataFrame, documents: DataFrame, complete: Callable[[str], str
                         seen.setdefault(k, j)
                 seen = {k: j for k, j in seen.items() if j.get("relation") in RELATIONS}
                 chosen = part.iloc[list(seen)]
-                yield chosen[["entity_id", "predicate_id", "fact_a", "fact_b", "trusted"]].assign(relation=[j["relation"] for j in seen.values()], rationale=[j.get("rationale", "") for j in seen.values()])
+                own = {c: pd.Series(chosen[c].tolist(), dtype=object) for c in ("entity_id", "predicate_id", "fact_a", "fact_b", "trusted")}
+                told = {c: pd.Series([j.get(c, "") for j in seen.values()], dtype=object) for c in ("relation", "rationale")}
+                yield pd.DataFrame(own | told)
 
     answers = flat.mapInPandas(run, "entity_id string, predicate_id string, fact_a string, fact_b string, trusted boolean, relation string, rationale string")
     verdict = F.create_map(*[F.lit(x) for k, v in RELATIONS.items() for x in (k, v[0])])

@@ -111,7 +111,8 @@ def embedded(texts: DataFrame, cache: DataFrame, embed: Embedder, column: str =
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at : at + BATCH]
-                yield part.assign(vec=embed(part[column].tolist()))
+                asked = part[column].tolist()
+                yield pd.DataFrame({column: pd.Series(asked, dtype=object), "key": pd.Series(part["key"].tolist(), dtype=object), "vec": embed(asked)})
 
     fresh = keyed.join(known, "key", "left_anti").select(column, "key").mapInPandas(run, f"{column} string, key string, vec array<float>")
     found = keyed.join(known, "key").select(column, "vec").unionByName(fresh.select(column, "vec"))
@@ -133,8 +134,10 @@ def completed(prompts: DataFrame, cache: DataFrame, complete: Completer, column:
                 return None, f"{type(e).__name__}: {e}"[:500]
 
         for batch in batches:
-            answers = [ask(p) for p in batch[column]]
-            yield batch.assign(response=[a[0] for a in answers], error=[a[1] for a in answers])
+            prompts = batch[column].tolist()
+            answers = [ask(p) for p in prompts]
+            columns = {column: prompts, "key": batch["key"].tolist(), "response": [a[0] for a in answers], "error": [a[1] for a in answers]}
+            yield pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
     fresh = keyed.join(known, "key", "left_anti").select(column, "key").mapInPandas(run, f"{column} string, key string, response string, error string")
     found = keyed.join(known, "key").select(column, "response", F.lit(None).cast("string").alias("error")).unionByName(fresh.select(column, "response", "error"))

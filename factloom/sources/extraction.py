@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.grounding import grounding_issues
 from ..operators import layout
@@ -51,7 +52,8 @@ def extract(pages: DataFrame, blocks: DataFrame, documents: DataFrame, cache: Da
     prompts = page_prompts(pages, blocks, documents)
     found, new = completed(prompts, cache, complete)
     answers = prompts.join(found, "prompt")
-    claims = answers.where("error is null").select(*PAGE, F.explode(F.from_json("response", f"struct<claims:array<struct<{_fields(CLAIM)}>>>")["claims"]).alias("c")).select(*PAGE, "c.*")
+    answer = T.StructType([T.StructField("claims", T.ArrayType(T.DataType.fromDDL(CLAIM)))])
+    claims = answers.where("error is null").select(*PAGE, F.explode(F.from_json("response", answer)["claims"]).alias("c")).select(*PAGE, "c.*")
     kept = cited(claims, blocks)
     facts = kept.select(
         F.expr("uuid()").alias("fact_id"),
@@ -66,22 +68,6 @@ def extract(pages: DataFrame, blocks: DataFrame, documents: DataFrame, cache: Da
     return facts, answers.select(*PAGE, "error"), new
 
 
-def _fields(ddl: str) -> str:
-    """A DDL list as the inside of a ``struct<>``."""
-    out, depth, start = [], 0, True
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        if c == " " and depth == 0 and start:
-            out.append(":")
-            start = False
-        elif c == "," and depth == 0:
-            out.append(c)
-            start = True
-        elif not (c == " " and depth == 0):
-            out.append(c)
-    return "".join(out)
-
-
 def marked(pages: DataFrame, answers: DataFrame) -> DataFrame:
     """``pages`` with those extracted that were read without an error."""
     read = answers.where("error is null").select(*PAGE, F.lit(True).alias("_read")).distinct()

@@ -1,4 +1,5 @@
 import json
+import re
 
 from factloom.operators import evidence, layout
 from factloom.plans import pipeline
@@ -15,7 +16,7 @@ class Model:
     def __call__(self, prompt: str) -> str:
         if "[b" not in prompt:
             return json.dumps({"issuer": "ACME", "doc_type": "report", "reporting_period": "FY24", "as_of": "2024", "summary": "s"})
-        value = next(float(w) for w in prompt.replace(",", "").split() if w.replace(".", "").isdigit())
+        value = float(re.search(r"\] [^\n]*?(\d+\.?\d*)", prompt)[1])
         claim = {"claim_text": f"revenue {value}", "subject": "ACME Ltd", "predicate": "revenue", "object_text": str(value), "value": value, "unit": "INR million", "value_type": "quantity", "qualifiers": [{"key": "period", "value": "FY24"}], "modality": "asserted", "approximate": False, "confidence": 1.0, "block_ids": [0, 99]}
         return json.dumps({"claims": [claim, claim | {"block_ids": [77]}]})
 
