@@ -191,5 +191,5 @@ def predict(model: Model | None, text: str | Column = "text") -> Column:
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, existing columns of those names replaced."""
     small_batches(docs.sparkSession)
-    hit = docs.withColumn("_hit", predict(model))
-    return hit.withColumns({"lang_pred": F.col("_hit.lang_pred"), "score": F.col("_hit.score")}).drop("_hit")
+    hit = docs.withColumn("__lang_hit", predict(model))
+    return hit.withColumns({"lang_pred": F.col("__lang_hit.lang_pred"), "score": F.col("__lang_hit.score")}).drop("__lang_hit")

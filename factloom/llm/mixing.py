@@ -25,6 +25,8 @@ from .common import materialise
 
 DRIVER_CELLS = 200_000
 NULL = "(null)"
+#: Columns of this prefix are the operator's own.
+OWN = "__mix_"
 MARGINS = ("source", "lang", "topic")
 
 
@@ -105,34 +107,34 @@ def rake_cells(cells: DataFrame, targets: DataFrame, margins: Sequence[str], rou
 
 
 def probabilities(docs: DataFrame, share: float, power: float, targets: Mapping[str, Mapping[str, float]] | None = None, margins: Mapping[str, Column] | None = None) -> DataFrame:
-    """``docs`` with ``_tokens``, the margins as ``_source, _lang, _topic``, and each one's ``_weight`` and ``_probability``.
+    """``docs`` with the margins, ``tokens``, ``weight`` and ``probability`` of each row, their names prefixed by ``OWN``.
 
     Targets are, where not given, the data's own shares tempered by ``power``.
     ``share`` is the part of all tokens to draw.
     """
     margins = margins or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}
-    names = [f"_{m}" for m in margins]
-    marked = docs.withColumns({f"_{m}": F.coalesce(c.cast("string"), F.lit(NULL)) for m, c in margins.items()} | {"_tokens": tokens()})
-    counted = marked.groupBy(*names).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+    names = [f"{OWN}{m}" for m in margins]
+    marked = docs.withColumns({f"{OWN}{m}": F.coalesce(c.cast("string"), F.lit(NULL)) for m, c in margins.items()} | {f"{OWN}tokens": tokens()})
+    counted = marked.groupBy(*names).agg(F.sum(f"{OWN}tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     counted = materialise(counted, "cells")
     if counted.count() <= DRIVER_CELLS:
         cells = counted.orderBy(*names).toPandas()
         goals = []
         for m in margins:
-            own = cells.groupby(f"_{m}")["tokens"].sum().astype(float).to_dict()
+            own = cells.groupby(f"{OWN}{m}")["tokens"].sum().astype(float).to_dict()
             own = {k: v / (sum(own.values()) or 1) for k, v in own.items()}
             goals.append(completed(own, (targets or {}).get(m) or tempered(own, power)))
         fitted = rake(cells, goals, names)
         own = cells["tokens"].to_numpy(float)
         own = own / own.sum() if own.sum() else own
         p = np.where(own > 0, keep_probability(own, fitted, share), share)
-        cells["_weight"], cells["_probability"] = np.divide(fitted, own, out=np.ones_like(own), where=own > 0), p
-        fit = docs.sparkSession.createDataFrame(list(cells[[*names, "_weight", "_probability"]].itertuples(index=False, name=None)), ", ".join(f"{n} string" for n in names) + ", _weight double, _probability double")
+        cells[f"{OWN}weight"], cells[f"{OWN}probability"] = np.divide(fitted, own, out=np.ones_like(own), where=own > 0), p
+        fit = docs.sparkSession.createDataFrame(list(cells[[*names, f"{OWN}weight", f"{OWN}probability"]].itertuples(index=False, name=None)), ", ".join(f"{n} string" for n in names) + f", {OWN}weight double, {OWN}probability double")
         return marked.join(F.broadcast(fit), names)  # at most DRIVER_CELLS rows
     total = counted.agg(F.sum("tokens")).first()[0] or 1
     goal_rows = []
     for m in margins:
-        own = counted.groupBy(F.col(f"_{m}").alias("value")).agg((F.sum("tokens") / F.lit(float(total))).alias("own"))
+        own = counted.groupBy(F.col(f"{OWN}{m}").alias("value")).agg((F.sum("tokens") / F.lit(float(total))).alias("own"))
         if (targets or {}).get(m):
             given = docs.sparkSession.createDataFrame(list(targets[m].items()), "value string, given double")
             own = own.join(F.broadcast(given), "value", "left")
@@ -142,18 +144,18 @@ def probabilities(docs: DataFrame, share: float, power: float, targets: Mapping[
         else:
             own = own.select("value", F.pow("own", F.lit(power)).alias("goal"))
         whole = own.agg(F.sum("goal")).first()[0] or 1.0
-        goal_rows.append(own.select(F.lit(f"_{m}").alias("margin"), "value", (F.col("goal") / whole).alias("goal")))
+        goal_rows.append(own.select(F.lit(f"{OWN}{m}").alias("margin"), "value", (F.col("goal") / whole).alias("goal")))
     goals = materialise(goal_rows[0].unionByName(goal_rows[1]).unionByName(goal_rows[2]) if len(goal_rows) == 3 else goal_rows[0], "goals")
     fitted = rake_cells(counted, goals, names)
-    ratio = fitted.withColumn("_weight", F.coalesce(F.try_divide("w", F.col("tokens") / F.lit(float(total))), F.lit(1.0)))
+    ratio = fitted.withColumn(f"{OWN}weight", F.coalesce(F.try_divide("w", F.col("tokens") / F.lit(float(total))), F.lit(1.0)))
     low, high = 0.0, 1.0
-    kept = lambda c: ratio.agg(F.sum(F.col("tokens") / F.lit(float(total)) * F.least(F.lit(1.0), F.lit(c) * F.col("_weight")))).first()[0] or 0.0
+    kept = lambda c: ratio.agg(F.sum(F.col("tokens") / F.lit(float(total)) * F.least(F.lit(1.0), F.lit(c) * F.col(f"{OWN}weight")))).first()[0] or 0.0
     while kept(high) < share and high < 2**20:
         high *= 2
     for _ in range(20):
         mid = (low + high) / 2
         low, high = (mid, high) if kept(mid) < share else (low, mid)
-    fit = ratio.select(*names, "_weight", F.least(F.lit(1.0), F.lit(high) * F.col("_weight")).alias("_probability"))
+    fit = ratio.select(*names, f"{OWN}weight", F.least(F.lit(1.0), F.lit(high) * F.col(f"{OWN}weight")).alias(f"{OWN}probability"))
     return marked.join(fit, names)
 
 
@@ -165,4 +167,4 @@ def draw(key: str = "doc_id", seed: int = 20) -> Column:
 def mix(docs: DataFrame, share: float = 0.7, power: float = 0.7, targets: Mapping[str, Mapping[str, float]] | None = None, key: str = "doc_id") -> DataFrame:
     """The documents drawn, with their own columns."""
     found = probabilities(docs, share, power, targets)
-    return found.where(draw(key) < F.col("_probability")).select(*docs.columns)
+    return found.where(draw(key) < F.col(f"{OWN}probability")).select(*docs.columns)

@@ -50,7 +50,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.probabilities(table(spark, sf_dir, "documents"), share=0.7, power=0.7)
-    return found.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), (mixing.draw() < F.col("_probability")).alias("drawn"))
+    own = lambda c: F.col(f"{mixing.OWN}{c}")
+    return found.select("doc_id", own("topic").alias("topic"), own("tokens").alias("n_tokens"), own("weight").alias("weight"), own("probability").alias("probability"), (mixing.draw() < own("probability")).alias("drawn"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from .shingles import mixed
 
 LENGTH, SEED = 100, 32
 WINDOW = LENGTH - SEED + 1
-CHUNK = 1_000_000
+CHUNK = 500_000
 PLACE_BITS = np.uint64(28)
 ROOT = np.uint64(0xD6E8FEB86659FD93)
 ROOT_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -125,12 +125,26 @@ def _sampled(docs: DataFrame) -> DataFrame:
             for a, b in slices(offsets, CHUNK):
                 at = offsets[a : b + 1]
                 r = runs(data[at[0] : at[-1]], at - at[0])
+                doc, place, before, more = key[a + r["doc"]], r["place"], r["place"] - r["first"], r["last"] - r["first"]
+                # Of equal runs in a chunk the earliest stands for all; the others are covered already and go anywhere but to its group.
+                same = mixed(r["name"] + _kind(r["whole"], before, more))
+                order = np.lexsort((place, doc, same))
+                new = _starts(same[order])
+                earliest = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                covered = np.zeros(len(order), bool)
+                covered[order] = (doc[order] != doc[earliest]) | (place[order] != place[earliest])
+                name = np.where(covered, mixed(same + np.arange(len(same), dtype=np.uint64)), r["name"])
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(r["name"]), pa.array(key[a + r["doc"]]), pa.array(twin[a + r["doc"]]), pa.array(r["place"].astype(np.int32)), pa.array((r["place"] - r["first"]).astype(np.int16)), pa.array((r["last"] - r["first"]).astype(np.int16)), _signed(r["whole"])],
-                    names=["name", "doc", "twin", "place", "before", "more", "whole"],
+                    [_signed(name), pa.array(doc), pa.array(twin[a + r["doc"]]), pa.array(place.astype(np.int32)), pa.array(before.astype(np.int16)), pa.array(more.astype(np.int16)), _signed(r["whole"]), pa.array(covered)],
+                    names=["name", "doc", "twin", "place", "before", "more", "whole", "covered"],
                 )
 
-    return docs.select("doc", "twin", "text").mapInArrow(run, "name long, doc long, twin long, place int, before short, more short, whole long")
+    return docs.select("doc", "twin", "text").mapInArrow(run, "name long, doc long, twin long, place int, before short, more short, whole long, covered boolean")
+
+
+def _kind(whole: np.ndarray, before: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """A name for all that equal runs of one elected name have in common."""
+    return mixed(whole.view(np.uint64) + (before.astype(np.uint64) << np.uint64(8)) + more.astype(np.uint64))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
@@ -153,6 +167,13 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 RUNS = "doc long, twin long, first int, last int, place int, name long, crowded boolean, contested boolean"
 
 
+def _run_batch(x: dict[str, np.ndarray], crowded: np.ndarray, contested: np.ndarray) -> pa.RecordBatch:
+    first = x["place"] - x["before"]
+    cols = (x["doc"], x["twin"], first, first + x["more"], x["place"], x["name"], crowded, contested)
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in RUNS.split(", ")])
+
+
 def _compare_runs(sampled: DataFrame, parts: int) -> DataFrame:
     """Runs that are covered, or contested; those of unique names are gone."""
 
@@ -160,7 +181,10 @@ def _compare_runs(sampled: DataFrame, parts: int) -> DataFrame:
         x = _read(batches)
         if x is None:
             return
-        kind = mixed(x["whole"].view(np.uint64) + (x["before"].astype(np.uint64) << np.uint64(8)) + x["more"].astype(np.uint64))
+        known = np.flatnonzero(x["covered"])
+        yield _run_batch({k: v[known] for k, v in x.items()}, np.zeros(len(known), bool), np.zeros(len(known), bool))
+        x = {k: v[~x["covered"]] for k, v in x.items()}
+        kind = _kind(x["whole"], x["before"], x["more"])
         order = np.lexsort((x["place"], x["doc"], kind, x["name"]))
         x, kind = {k: v[order] for k, v in x.items()}, kind[order]
         by_name, by_kind = _starts(x["name"]), _starts(x["name"], kind)
@@ -170,10 +194,7 @@ def _compare_runs(sampled: DataFrame, parts: int) -> DataFrame:
         kinds = np.bincount(name_of[by_kind])
         contested = ~covered & (kinds[name_of] > 1)
         keep = covered | contested
-        first = x["place"] - x["before"]
-        cols = (x["doc"], x["twin"], first, first + x["more"], x["place"], x["name"], kinds[name_of] > CROWD, contested)
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep].astype(t.to_pandas_dtype())) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in RUNS.split(", ")])
+        yield _run_batch({k: v[keep] for k, v in x.items()}, (kinds[name_of] > CROWD)[keep], contested[keep])
 
     return sampled.repartition(parts, "name").mapInArrow(run, RUNS)
 

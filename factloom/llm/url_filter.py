@@ -71,27 +71,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     # What decides is the host and as much of the path as the longest rule has.
     longest = max([m for _, m in shape_rows], default=0)
-    sites = parts.select("host", F.substring("path", 1, longest).alias("_head")).where("host <> ''").distinct()
+    sites = parts.select("host", F.substring("path", 1, longest).alias("__url_head")).where("host <> ''").distinct()
     split = F.split(F.col("host"), r"\.")
     pairs = [
         F.when(
-            (F.size(split) >= n) & (F.length("_head") >= m),
-            F.struct(F.concat_ws(".", F.slice(split, F.greatest(F.size(split) - n + 1, F.lit(1)), n)).alias("h"), F.substring("_head", 1, m).alias("p")),
+            (F.size(split) >= n) & (F.length("__url_head") >= m),
+            F.struct(F.concat_ws(".", F.slice(split, F.greatest(F.size(split) - n + 1, F.lit(1)), n)).alias("h"), F.substring("__url_head", 1, m).alias("p")),
         )
         for n, m in sorted(shape_rows)
     ]
     if not pairs:
-        best = sites.select("host", "_head", F.lit(None).cast("struct<first:int,size:int,host_size:int,blocks:int,verdict:string,rule:string>").alias("_best")).limit(0)
+        best = sites.select("host", "__url_head", F.lit(None).cast("struct<first:int,size:int,host_size:int,blocks:int,verdict:string,rule:string>").alias("__url_best")).limit(0)
     else:
-        wide = sites.select("host", "_head", F.explode(F.array_compact(F.array(*pairs))).alias("_e"))
-        wide = wide.select("host", "_head", digest(F.col("_e.h"), F.col("_e.p")).alias("_digest"))
+        wide = sites.select("host", "__url_head", F.explode(F.array_compact(F.array(*pairs))).alias("_e"))
+        wide = wide.select("host", "__url_head", digest(F.col("_e.h"), F.col("_e.p")).alias("_digest"))
         wide = wide.withColumn("_short", F.substring("_digest", 1, SHORT))
         hits = wide.join(known, "_short").where(F.col("_digest") == F.col("_full"))
-        best = hits.groupBy("host", "_head").agg(F.max("_hit").alias("_best"))
-    out = parts.withColumn("_head", F.substring("path", 1, longest)).join(best, ["host", "_head"], "left")
+        best = hits.groupBy("host", "__url_head").agg(F.max("_hit").alias("__url_best"))
+    out = parts.withColumn("__url_head", F.substring("path", 1, longest)).join(best, ["host", "__url_head"], "left")
     return out.withColumns(
         {
-            "rule": F.when(F.col("_best.first") == 1, F.col("_best.rule")),
-            "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default)),
+            "rule": F.when(F.col("__url_best.first") == 1, F.col("__url_best.rule")),
+            "verdict": F.coalesce(F.col("__url_best.verdict"), F.lit(default)),
         }
-    ).drop("_head", "_best")
+    ).drop("__url_head", "__url_best")

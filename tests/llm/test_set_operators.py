@@ -275,18 +275,21 @@ def test_rake_meets_its_targets():
     assert p.max() <= 1 and own @ p == pytest.approx(0.4, abs=1e-6)
 
 
+NAMES = ("__mix_source", "__mix_lang", "__mix_topic")
+
+
 def test_mixing(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, text(rng, rng.randint(0, 60)), rng.choice(["en", "fr", None]), rng.choice(["a"] * 8 + ["b", None]), "x") for i in range(3_000)] + [(None, None, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _weight string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight string")
     found = mixing.probabilities(docs, 0.6, 0.5)
-    small = found.groupBy("_source", "_lang", "_topic").agg(F.avg("_probability").alias("p"), F.sum("_tokens").alias("n")).toPandas()
+    small = found.groupBy(*NAMES).agg(F.avg("__mix_probability").alias("p"), F.sum("__mix_tokens").alias("n")).toPandas()
     assert (small.n * small.p).sum() / small.n.sum() == pytest.approx(0.6, abs=0.01)
     drawn = mixing.mix(docs, 0.6, 0.5)
     assert drawn.columns == docs.columns and 0.5 < drawn.where("text <> ''").select(F.sum(F.size(F.split("text", " ")))).first()[0] / small.n.sum() < 0.7
     assert sorted(r.doc_id for r in drawn.where("doc_id is not null").collect()) == sorted(r.doc_id for r in mixing.mix(docs.repartition(3), 0.6, 0.5).where("doc_id is not null").collect())
     monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)  # the fit as joins
-    wide = {(r._source, r._lang, r._topic): r.p for r in mixing.probabilities(docs, 0.6, 0.5).groupBy("_source", "_lang", "_topic").agg(F.avg("_probability").alias("p")).collect()}
+    wide = {tuple(r)[:3]: r.p for r in mixing.probabilities(docs, 0.6, 0.5).groupBy(*NAMES).agg(F.avg("__mix_probability").alias("p")).collect()}
     for r in small.itertuples():
         if r.n:
             assert wide[r[1], r[2], r[3]] == pytest.approx(r.p, abs=2e-3)
