@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grounding, qualifiers, units
 from ..functions.naming import verdict_id
+from ..scratch import written
 
 CELL = ("entity_id", "predicate_id")
 
@@ -124,8 +125,13 @@ def compared(pairs: DataFrame) -> DataFrame:
 
 
 def reconcile(facts: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-    """All verdicts of the comparator over ``facts``."""
-    return compared(paired(signed(prepared(facts, documents))))
+    """All verdicts of the comparator over ``facts``.
+
+    The signed facts, slim and read by both sides of the pair join, are written once.
+    """
+    own = signed(prepared(facts, documents)).where("norm is not null")
+    slim = own.select(*CELL, "keys", "fact_id", "doc_id", "predicate", "norm", "position", "inherited", "trusted")
+    return compared(paired(written(slim, "signed-facts")))
 
 
 def renewed(existing: DataFrame, verdicts: DataFrame) -> DataFrame:
