@@ -25,9 +25,9 @@ from .common import materialise, ranges, slices, small_batches, text_bytes, unio
 
 FAN_IN = 8
 #: Words that a worker remembers before it starts afresh.
-WORDS = 1_000_000
+WORDS = 400_000
 #: Bytes of text that are tokenised at once.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECE}, sequence_id long, offset long, load int, open boolean, node long"
 
