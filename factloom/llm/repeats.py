@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ranges, slices, small_batches, text_bytes
+from .common import id_filter, materialise, passing, ranges, slices, small_batches, text_bytes
 from .shingles import mixed
 
 LENGTH, SEED = 100, 32
@@ -41,8 +41,6 @@ ROOT_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 #: Contested runs of one name above which each of their windows travels by itself.
 CROWD = 2_000
-#: Bits of the filter that tells tasks which documents a later step needs (a constant size; what passes it wrongly finds nothing in the join).
-FILTER_BITS = 1 << 23
 LOWEST = -(2**63)
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -199,27 +197,10 @@ def _compare_runs(sampled: DataFrame, parts: int) -> DataFrame:
     return sampled.repartition(parts, "name").mapInArrow(run, RUNS)
 
 
-def _filter(rows: DataFrame) -> np.ndarray:
-    """Bits of the documents of ``rows``."""
-    ids = rows.select(F.expr(f"pmod(xxhash64(doc, twin), {FILTER_BITS})").alias("at"))
-    words = ids.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return bits
-
-
-def _split(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``docs`` with ``wanted``: whether the filter may hold the document."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def wanted(at):
-        import pandas as pd
-
-        a = at.to_numpy(np.int64)
-        return pd.Series((sent.value[a >> 6] >> (a & 63)) & 1 == 1)
-
-    return docs.withColumn("wanted", wanted(F.expr(f"pmod(xxhash64(doc, twin), {FILTER_BITS})")))
+def _split(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` with ``wanted``: whether the document may be among those of the given rows."""
+    bits = id_filter(wanted.select(F.xxhash64("doc", "twin").alias("at")), "at")
+    return docs.withColumn("wanted", passing(docs, bits, F.xxhash64("doc", "twin")))
 
 
 def _intervals(rows: DataFrame) -> DataFrame:
@@ -229,7 +210,7 @@ def _intervals(rows: DataFrame) -> DataFrame:
 def _windows(docs: DataFrame, contested: DataFrame) -> DataFrame:
     """``key`` (a run's elected name; a crowded window's own name), ``offset``, ``doc, twin, first`` and the bytes of each contested run."""
     listed = contested.groupBy("doc", "twin").agg(F.collect_list(F.struct("first", "last", "place", "name", "crowded")).alias("runs"))
-    joined = _split(docs, _filter(contested)).where("wanted").select("doc", "twin", "text").join(listed, ["doc", "twin"])
+    joined = _split(docs, contested).where("wanted").select("doc", "twin", "text").join(listed, ["doc", "twin"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,7 +339,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     twin = F.xxhash64(text) if repeated else F.lit(0).cast("long")
     keyed = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("doc"), twin.alias("twin"), F.col(text).alias("text"))
     found = covered_ranges(keyed)
-    split = _split(keyed, _filter(found))
+    split = _split(keyed, found)
     clean = split.where("not wanted").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("found"))
     touched = split.where("wanted").join(_intervals(found), ["doc", "twin"], "left").select("doc_id", "text", "found")
     result = f"doc_id long, {RESULT}"
