@@ -66,6 +66,37 @@ def union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+#: Bits of a filter of ids (a constant size; what passes it wrongly finds nothing in the join that follows).
+FILTER_BITS = 1 << 23
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value of a hashed id column, as 64-bit words."""
+    at = F.expr(f"pmod({column}, {FILTER_BITS})")
+    words = ids.select(at.alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bits
+
+
+def in_filter(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at % FILTER_BITS
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def passing(df: DataFrame, bits: np.ndarray, hashed: Column) -> Column:
+    """Whether a row's hashed id may be among those of the filter."""
+    sent = df.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def found(at):
+        import pandas as pd
+
+        return pd.Series(in_filter(sent.value, at.to_numpy(np.int64)))
+
+    return found(hashed)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n+1 offsets; null is empty."""
     if column.null_count:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import id_filter, in_filter, materialise, small_batches
 from .components import connected
 from .shingles import mixed, shingle_sets, signature
 
@@ -36,8 +36,6 @@ from .shingles import mixed, shingle_sets, signature
 HEAVY, HEAVY_MOST = 16, 500_000
 #: Largest size for which subsets are considered.
 SMALL_MOST = 16
-#: Bits of the filter that tells tasks which sets are compared (a constant size; what passes it wrongly is dropped by the join).
-FILTER_BITS = 1 << 23
 KNOWN = 1 << 20
 #: Entries that a task gathers before it gives them on.
 FLUSH = 2_000_000
@@ -382,17 +380,12 @@ def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    places = ends.join(classes, "sig").select(F.expr(f"pmod(at, {FILTER_BITS})").alias("at"))
-    rows = places.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast(bits)
+    sent = spark.sparkContext.broadcast(id_filter(ends.join(classes, "sig"), "at"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def asked() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.column(0).to_numpy() % FILTER_BITS
-                yield batch.select([1]).filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
+                yield batch.select([1]).filter(pa.array(in_filter(sent.value, batch.column(0).to_numpy())))
 
         sigs, sets, size = [], [], 0
 
