@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import jaccard, mixing, packing, quality, secrets
-from factloom.llm.common import materialise, table
+from factloom.llm.common import id_filter, materialise, passing, table
 from factloom.llm.queries import tokenizer_path
 
 #: The part of all tokens that mixing draws, and the power that flattens the sources' shares.
@@ -29,8 +29,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group; documents without words, and those without an id, stay."""
     groups = materialise(jaccard.near_duplicates(docs), "groups")
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    # Only documents that may be dropped are joined; the others' texts stay where they are.
+    at = F.xxhash64(F.col("doc_id").cast("long"))
+    asked = passing(docs, id_filter(dropped.select(F.xxhash64("doc_id").alias("at")), "at"), at)
+    marked = docs.withColumn("__asked", asked)
+    sure, open_rows = marked.where("not __asked").select(*docs.columns), marked.where("__asked").select(*docs.columns)
+    kept = sure.unionByName(open_rows.join(dropped, "doc_id", "left_anti").select(*docs.columns))
     repeated = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(docs.columns) if repeated else kept
 
