@@ -224,7 +224,7 @@ def train_index(sample: np.ndarray, cells: int, parts: int, words: int = 64) ->
     return Index(coarse, np.stack(books))
 
 
-def ann_search(vectors: DataFrame, which: Column, k: int = 20, sample_rows: int = 4_096, cells: int = 64, probes: int = 52, rerank: int = 12) -> DataFrame:
+def ann_search(vectors: DataFrame, which: Column, k: int = 20, sample_rows: int = 4_096, cells: int = 64, probes: int = 56, rerank: int = 12) -> DataFrame:
     """``query_id, rank, vec_id, score``: an index is fitted on ``sample_rows`` rows (in the order of a hash of the id), and holds every row.
 
     Each query probes ``probes`` of the ``cells`` lists, at most, and in each block
