@@ -4,26 +4,32 @@ Iterative proportional fitting works on the table of cells (source by language b
 topic), not on documents: one pass counts documents and tokens of each cell, the cells'
 weights are scaled to each marginal in turn until they agree, and each document is
 drawn with its cell's probability, by a hash of its id.  Up to ``DRIVER_CELLS`` cells
-(a checked bound) are fitted on the driver; beyond that the fit runs as joins of
-the cell table, one round written in the shared folder at a time.
+(a checked bound) are fitted on the driver; beyond that the same fit runs as joins of
+the cell table with one factor for each value of a margin, which are written in the shared folder.
+Both scale until the worst gap of a margin is below ``TOLERANCE``, and warn where ``ROUNDS``
+rounds do not get there (targets that the cells cannot meet together).
 
 Nulls in a margin are a value of their own (``(null)``); null and empty texts hold no
-token and are drawn with their cell.  Targets are shares; values without a target
+token and are drawn with their cell; a cell without tokens has weight 1 and the
+probability ``share``.  Targets are shares; values without a target
 keep their own share, and those that the data lack are left out.  Repeated ids are drawn together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import warnings
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, union
 
 DRIVER_CELLS = 200_000
+#: A fit ends where no margin's gap is wider, or after so many rounds, with a warning.
+TOLERANCE, ROUNDS = 1e-9, 200
 NULL = "(null)"
 #: Columns of this prefix are the operator's own.
 OWN = "__mix_"
@@ -65,12 +71,19 @@ def completed(own: Mapping[str, float], target: Mapping[str, float]) -> dict[str
     return {k: v / total for k, v in out.items()}
 
 
-def rake(cells: pd.DataFrame, targets: Sequence[Mapping[str, float]], margins: Sequence[str] = MARGINS, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+def settled(worst: float, rounds: int, tolerance: float) -> None:
+    """Say so where a fit ended before its margins were met."""
+    if worst >= tolerance:
+        warnings.warn(f"raking: after {rounds} rounds a margin is still off by {worst:.1e}", RuntimeWarning, stacklevel=3)
+
+
+def rake(cells: pd.DataFrame, targets: Sequence[Mapping[str, float]], margins: Sequence[str] = MARGINS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Fitted token shares of the cells (columns ``margins`` and ``tokens``)."""
     w = cells["tokens"].to_numpy(float)
     w = w / w.sum() if w.sum() else w
     coded = [pd.factorize(cells[m], sort=True) for m in margins]
     want = [np.array([t.get(v, 0.0) for v in values]) for (_, values), t in zip(coded, targets, strict=True)]
+    worst = 0.0
     for _ in range(rounds):
         worst = 0.0
         for (code, values), goal in zip(coded, want, strict=True):
@@ -79,31 +92,80 @@ def rake(cells: pd.DataFrame, targets: Sequence[Mapping[str, float]], margins: S
             w = w * np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)[code]
         if worst < tolerance:
             break
+    settled(worst, rounds, tolerance)
     return w
 
 
+def scale(share: float, sums: Callable[[float], tuple[float, float]]) -> float:
+    """The factor by which ratios are multiplied, and cut at 1, to keep ``share`` of all tokens.
+
+    ``sums`` gives, for a factor, the own shares of cells that it brings to 1 and the
+    fitted shares of the others.  What is kept is concave in the factor, so that
+    Newton's steps come from below and end, at last where all cells are at 1.
+    """
+    c = 0.0
+    while True:
+        full, rest = sums(c)
+        step = (share - full) / rest if rest > 0 else c
+        if step <= c * (1 + 1e-12):
+            return c
+        c = step
+
+
 def keep_probability(own: np.ndarray, fitted: np.ndarray, share: float) -> np.ndarray:
     """Probabilities proportional to ``fitted / own``, at most 1, that keep ``share`` of all tokens (or as near as cells of probability 1 allow)."""
     ratio = np.divide(fitted, own, out=np.zeros_like(fitted), where=own > 0)
-    low, high = 0.0, 1.0
-    while own @ np.minimum(1, high * ratio) < share * own[ratio > 0].sum() - 1e-12 and high < 1e12:
-        high *= 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if own @ np.minimum(1, mid * ratio) < share else (low, mid)
-    return np.minimum(1, high * ratio)
-
-
-def rake_cells(cells: DataFrame, targets: DataFrame, margins: Sequence[str], rounds: int = 25) -> DataFrame:
-    """The same fit as joins, for cell tables beyond the driver: ``targets`` has ``margin, value, goal``."""
-    w = cells.withColumn("w", F.col("tokens").cast("double"))
-    for k in range(rounds):
+
+    def sums(c: float) -> tuple[float, float]:
+        full = c * ratio >= 1
+        return float(own[full].sum()), float((own * ratio)[~full].sum())
+
+    return np.minimum(1, scale(share, sums) * ratio)
+
+
+def goals_of(counted: DataFrame, total: float, name: str, power: float, target: Mapping[str, float] | None) -> DataFrame:
+    """``margin, value, goal`` of one margin: what ``completed`` or ``tempered`` give, of cells beyond the driver."""
+    own = counted.groupBy(F.col(name).alias("value")).agg((F.sum("tokens") / F.lit(total)).alias("own")).where("own > 0")
+    if target:
+        given = counted.sparkSession.createDataFrame([(k, float(v)) for k, v in target.items()], "value string, given double")
+        own = own.join(F.broadcast(given), "value", "left")
+        sums = own.agg(F.sum("given"), F.sum(F.when(F.col("given").isNull(), F.col("own")))).first()
+        left, rest = max(0.0, 1 - (sums[0] or 0.0)), sums[1] or 1.0
+        own = own.select("value", F.coalesce("given", F.col("own") * F.lit(left / rest)).alias("goal"))
+    else:
+        own = own.select("value", F.pow("own", F.lit(float(power))).alias("goal"))
+    whole = own.agg(F.sum("goal")).first()[0] or 1.0
+    return own.select(F.lit(name).alias("margin"), "value", (F.col("goal") / F.lit(whole)).alias("goal"))
+
+
+def rake_cells(cells: DataFrame, total: float, targets: DataFrame, margins: Sequence[str], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same fit as joins, for cell tables beyond the driver: ``cells`` that hold tokens, with their fitted share ``w``.
+
+    ``targets`` has ``margin, value, goal``.  A round rewrites only the logarithm of each value's factor.
+    """
+    goals = {m: targets.where(F.col("margin") == m).select(F.col("value").alias(m), F.col("goal").alias("_goal")) for m in margins}
+    logs = {m: goals[m].select(m, F.lit(0.0).alias(f"_log{k}")) for k, m in enumerate(margins)}
+    cells = cells.where("tokens > 0")
+
+    def fitted() -> DataFrame:
+        w = cells
         for m in margins:
-            have = w.groupBy(m).agg(F.sum("w").alias("_have"))
-            goal = targets.where(F.col("margin") == m).select(F.col("value").alias(m), F.col("goal").alias("_goal"))
-            w = w.join(have.join(goal, m).select(m, F.try_divide("_goal", "_have").alias("_f")), m).withColumn("w", F.col("w") * F.coalesce("_f", F.lit(0.0))).drop("_f")
-        w = materialise(w, f"rake-{k}")
-    return w
+            w = w.join(logs[m], m)
+        return w.withColumn("w", F.col("tokens") / F.lit(total) * F.exp(sum((F.col(f"_log{k}") for k in range(1, len(margins))), F.col("_log0"))))
+
+    worst = 0.0
+    for _ in range(rounds):
+        worst = 0.0
+        for k, m in enumerate(margins):
+            have = fitted().groupBy(m, f"_log{k}").agg(F.sum("w").alias("_have")).join(goals[m], m)
+            factor = F.when((F.col("_have") > 0) & (F.col("_goal") > 0), F.col(f"_log{k}") + F.log(F.col("_goal") / F.col("_have"))).otherwise(F.lit(float("-inf")))
+            step = materialise(have.select(m, factor.alias(f"_log{k}"), F.abs(F.col("_have") - F.col("_goal")).alias("_gap")), "rake")
+            worst = max(worst, step.agg(F.max("_gap")).first()[0] or 0.0)
+            logs[m] = step.select(m, f"_log{k}")
+        if worst < tolerance:
+            break
+    settled(worst, rounds, tolerance)
+    return materialise(fitted().select(*cells.columns, "w"), "raked")
 
 
 def probabilities(docs: DataFrame, share: float, power: float, targets: Mapping[str, Mapping[str, float]] | None = None, margins: Mapping[str, Column] | None = None) -> DataFrame:
@@ -122,7 +184,8 @@ def probabilities(docs: DataFrame, share: float, power: float, targets: Mapping[
         goals = []
         for m in margins:
             own = cells.groupby(f"{OWN}{m}")["tokens"].sum().astype(float).to_dict()
-            own = {k: v / (sum(own.values()) or 1) for k, v in own.items()}
+            total = sum(own.values()) or 1
+            own = {k: v / total for k, v in own.items()}
             goals.append(completed(own, (targets or {}).get(m) or tempered(own, power)))
         fitted = rake(cells, goals, names)
         own = cells["tokens"].to_numpy(float)
@@ -131,32 +194,20 @@ def probabilities(docs: DataFrame, share: float, power: float, targets: Mapping[
         cells[f"{OWN}weight"], cells[f"{OWN}probability"] = np.divide(fitted, own, out=np.ones_like(own), where=own > 0), p
         fit = docs.sparkSession.createDataFrame(list(cells[[*names, f"{OWN}weight", f"{OWN}probability"]].itertuples(index=False, name=None)), ", ".join(f"{n} string" for n in names) + f", {OWN}weight double, {OWN}probability double")
         return marked.join(F.broadcast(fit), names)  # at most DRIVER_CELLS rows
-    total = counted.agg(F.sum("tokens")).first()[0] or 1
-    goal_rows = []
-    for m in margins:
-        own = counted.groupBy(F.col(f"{OWN}{m}").alias("value")).agg((F.sum("tokens") / F.lit(float(total))).alias("own"))
-        if (targets or {}).get(m):
-            given = docs.sparkSession.createDataFrame(list(targets[m].items()), "value string, given double")
-            own = own.join(F.broadcast(given), "value", "left")
-            left = max(0.0, 1 - sum(targets[m].values()))
-            rest = own.agg(F.sum(F.when(F.col("given").isNull(), F.col("own")))).first()[0] or 1.0
-            own = own.select("value", F.coalesce("given", F.col("own") * left / rest).alias("goal"))
-        else:
-            own = own.select("value", F.pow("own", F.lit(power)).alias("goal"))
-        whole = own.agg(F.sum("goal")).first()[0] or 1.0
-        goal_rows.append(own.select(F.lit(f"{OWN}{m}").alias("margin"), "value", (F.col("goal") / whole).alias("goal")))
-    goals = materialise(goal_rows[0].unionByName(goal_rows[1]).unionByName(goal_rows[2]) if len(goal_rows) == 3 else goal_rows[0], "goals")
-    fitted = rake_cells(counted, goals, names)
-    ratio = fitted.withColumn(f"{OWN}weight", F.coalesce(F.try_divide("w", F.col("tokens") / F.lit(float(total))), F.lit(1.0)))
-    low, high = 0.0, 1.0
-    kept = lambda c: ratio.agg(F.sum(F.col("tokens") / F.lit(float(total)) * F.least(F.lit(1.0), F.lit(c) * F.col(f"{OWN}weight")))).first()[0] or 0.0
-    while kept(high) < share and high < 2**20:
-        high *= 2
-    for _ in range(20):
-        mid = (low + high) / 2
-        low, high = (mid, high) if kept(mid) < share else (low, mid)
-    fit = ratio.select(*names, f"{OWN}weight", F.least(F.lit(1.0), F.lit(high) * F.col(f"{OWN}weight")).alias(f"{OWN}probability"))
-    return marked.join(fit, names)
+    total = float(counted.agg(F.sum("tokens")).first()[0] or 1)
+    goals = materialise(union(goals_of(counted, total, f"{OWN}{m}", power, (targets or {}).get(m)) for m in margins), "goals")
+    own, weight = F.col("tokens") / F.lit(total), F.col("w") / (F.col("tokens") / F.lit(total))
+    raked = rake_cells(counted, total, goals, names)
+
+    def sums(c: float) -> tuple[float, float]:
+        full = F.lit(c) * weight >= 1
+        got = raked.agg(F.sum(F.when(full, own)), F.sum(F.when(~full, own * weight))).first()
+        return got[0] or 0.0, got[1] or 0.0
+
+    high = scale(share, sums)
+    fit = raked.select(*names, weight.alias(f"{OWN}weight"), F.least(F.lit(1.0), F.lit(high) * weight).alias(f"{OWN}probability"))
+    bare = counted.where("tokens = 0").select(*names, F.lit(1.0).alias(f"{OWN}weight"), F.lit(float(share)).alias(f"{OWN}probability"))
+    return marked.join(fit.unionByName(bare), names)
 
 
 def draw(key: str = "doc_id", seed: int = 20) -> Column:

@@ -294,3 +294,47 @@ def test_mixing(spark, monkeypatch):
         if r.n:
             assert wide[r[1], r[2], r[3]] == pytest.approx(r.p, abs=2e-3)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n_margins", [1, 2, 4])
+def test_mixing_is_the_same_on_driver_and_as_joins(spark, monkeypatch, n_margins):
+    """Cells without tokens, targets of absent values, and skewed shares that take many rounds."""
+    rng = random.Random(n_margins)
+    rows = [(i, text(rng, rng.randint(1, 30)), rng.choice("ab"), rng.choice("xy"), rng.choice("pq"), rng.choice("uv")) for i in range(300)]
+    rows += [(300 + i, text(rng, 400), "a", "x", "p", "u") for i in range(3)] + [(400, "", "empty", "x", "p", "u"), (401, None, "a", None, "p", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, m3 string, m4 string").coalesce(2)
+    margins = dict(list({m: F.col(m) for m in ("source", "lang", "m3", "m4")}.items())[:n_margins])
+    targets = {"source": {"a": 0.3, "absent": 0.5}, "lang": {"x": 0.9}}
+
+    def fitted():
+        found = mixing.probabilities(docs, 0.5, 0.5, targets, margins).collect()
+        return {r["doc_id"]: (r["__mix_weight"], r["__mix_probability"]) for r in found}
+
+    def margin(m, value):
+        part = [(w * n, getattr(r, m) == value) for r, n, w in ((r, len((r.text or "").split()), wide[r.doc_id][0]) for r in docs.collect())]
+        return sum(x for x, own in part if own) / sum(x for x, _ in part)
+
+    driver = fitted()
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    wide = fitted()
+    assert driver.keys() == wide.keys() and len(wide) == len(rows)
+    assert all(wide[k] == pytest.approx(driver[k], abs=1e-7) for k in driver)
+    assert wide[400] == (1.0, 0.5)
+    assert margin("source", "a") == pytest.approx(0.3, abs=1e-7) and (n_margins == 1 or margin("lang", "x") == pytest.approx(0.9, abs=1e-7))
+
+
+def test_margins_that_cannot_be_met_are_reported(spark):
+    """Two cells on a diagonal cannot have different shares of source and language."""
+    cells = pd.DataFrame([("a", "x", 5), ("b", "y", 5)], columns=["source", "lang", "tokens"])
+    goals = [{"a": 0.3, "b": 0.7}, {"x": 0.6, "y": 0.4}]
+    with pytest.warns(RuntimeWarning, match="a margin is still off by"):
+        mixing.rake(cells, goals, ("source", "lang"), rounds=3)
+    targets = spark.createDataFrame([(m, v, g) for m, goal in zip(("source", "lang"), goals, strict=True) for v, g in goal.items()], "margin string, value string, goal double")
+    with pytest.warns(RuntimeWarning, match="a margin is still off by"):
+        mixing.rake_cells(spark.createDataFrame(cells), 10.0, targets, ("source", "lang"), rounds=3)
+
+
+def test_share_is_kept_where_some_cells_are_barred():
+    own, fitted = np.array([0.2, 0.5, 0.3]), np.array([0.0, 0.9, 0.1])
+    assert own @ mixing.keep_probability(own, fitted, 0.7) == pytest.approx(0.7, abs=1e-9)
+    assert mixing.keep_probability(own, fitted, 0.9).tolist() == [0, 1, 1]
