@@ -3,7 +3,7 @@
 The kernel of two texts is the number of n-grams (1 to ``LONGEST`` signs, of the
 lower-cased text, what isn't a letter being one blank) that both hold, over the
 geometric mean of what each holds: the blended spectrum, by presence.  N-grams
-count as far as some landmark has them.  ``landmarks`` texts of each language span the
+count as far as some landmark has them, each exactly, in a hash table that grows with them.  ``landmarks`` texts of each language span the
 feature space, one ridge regression for each language (one against the rest) is solved
 in it, and all of that is linear in the presence of n-grams, so that it folds into one
 matrix of n-grams by languages: scoring is a product of a batch's presence matrix with it.
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import fold, slices, small_batches
 
 LONGEST = 3
-SLOTS = 17
 #: Texts of one presence matrix.
 ROWS = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -50,13 +49,42 @@ class Model:
 
 
 class Table:
-    """The place of each known n-gram, by its slot."""
+    """The place of each known n-gram: open addressing, at most an eighth full."""
 
     def __init__(self, known: np.ndarray) -> None:
-        self.width = len(known)
-        self.gram, self.place = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int64)
-        at = slot(known)
-        self.gram[at], self.place[at] = known, np.arange(len(known))
+        self.width, self.bits = len(known), max(10, (8 * len(known)).bit_length())
+        self.gram, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64)
+        left, at = np.arange(len(known)), self.slot(known)
+        while len(left):
+            free = self.gram[at] == 0
+            self.gram[at[free]] = known[left[free]]  # of several one stays, the others go on
+            placed = self.gram[at] == known[left]
+            self.place[at[placed]] = left[placed]
+            left, at = left[~placed], self.after(at[~placed])
+
+    def slot(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram * MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def after(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the n-grams are known, by index, and their places."""
+        at = self.slot(gram)
+        there = self.gram[at]
+        hit = there == gram
+        found, places = [np.flatnonzero(hit)], [self.place[at[hit]]]
+        left = np.flatnonzero(~hit & (there != 0))
+        at = at[left]
+        while len(left):
+            at = self.after(at)
+            there = self.gram[at]
+            hit = there == gram[left]
+            found.append(left[hit])
+            places.append(self.place[at[hit]])
+            on = ~hit & (there != 0)
+            left, at = left[on], at[on]
+        return np.concatenate(found), np.concatenate(places)
 
 
 @cache
@@ -90,18 +118,13 @@ def grams(code: np.ndarray, owner: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
-def slot(gram: np.ndarray) -> np.ndarray:
-    return ((gram * MIX) >> np.uint64(64 - SLOTS)).astype(np.int64)
-
-
 def presence(texts: list[str | None], table: Table) -> tuple[np.ndarray, np.ndarray]:
     """Texts by known n-grams, whether it occurs; and which texts have a letter."""
     code, owner, any_letter = signs(texts)
     out = np.zeros(len(texts) * table.width, bool)
     for gram, own in grams(code, owner):
-        at = slot(gram)
-        hit = table.gram[at] == gram
-        out[own[hit] * table.width + table.place[at[hit]]] = True
+        hit, place = table.find(gram)
+        out[own[hit] * table.width + place] = True
     return out.reshape(len(texts), -1), any_letter
 
 
@@ -115,10 +138,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int, ridge: float = 1e-3) -> Mod
         if taken[k] <= landmarks:
             marks.append(text)
     code, owner, _ = signs(marks)
-    found = np.concatenate([np.unique(g) for g, _ in grams(code, owner)])
-    first = np.zeros(1 << SLOTS, np.uint64)
-    first[slot(found[::-1])] = found[::-1]  # where several meet in a slot, the shortest stays
-    known = first[first > 0]
+    known = np.concatenate([np.unique(g) for g, _ in grams(code, owner)])  # no n-gram is 0, nor equal to one of another length
     table = Table(known)
 
     def rowwise(texts: list[str]) -> np.ndarray:

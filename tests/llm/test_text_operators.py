@@ -125,6 +125,21 @@ def test_folded_weights_are_the_kernel():
     assert sum(a == b for a, (b, _) in zip(names, rows, strict=True)) == len(rows)
 
 
+def test_every_n_gram_of_a_landmark_counts():
+    """More n-grams than a table of fixed size tells apart."""
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(f"l{k}", " ".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(8)) for _ in range(300))) for k in range(4) for _ in range(4)]
+    held = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in (f" {t} " for _, t in rows)]
+    model = language.fit(rows, 4)
+    want = set().union(*held)
+    assert len(want) > 50_000 and len(model.grams) == len(np.unique(model.grams)) == len(want)
+    p, _ = language.presence([t for _, t in rows], language.Table(model.grams))
+    assert p.sum(1).tolist() == [len(h) for h in held]
+    assert not language.presence(["q"], language.Table(model.grams))[0][:, model.grams == ord("q")].any()
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = lambda: speech(rng, "en", rng.randint(20, 200)) + "."
