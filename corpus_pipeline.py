@@ -27,17 +27,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; documents without words, and those without an id, stay."""
-    groups = materialise(jaccard.near_duplicates(docs), "groups")
-    dropped = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    """One row of each group, of its smallest id (then the smallest digest, then row); rows without words, and those without an id, stay."""
+    groups = materialise(jaccard.near_duplicate_rows(docs).where("doc_id is not null and label is not null"), "groups")
+    # A row is known by its id and its digest; several of a group may have its smallest id, and the ``__rest`` of equal ones must go.
+    heads = materialise(groups.where("doc_id = component_id").groupBy("label", "doc_id", "sig").agg(F.count(F.lit(1)).alias("n")), "heads")
+    first = heads.groupBy("label").agg(F.min("sig").alias("first"))
+    more = heads.join(first, "label").where("sig <> first or n > 1").select("doc_id", F.col("sig").alias("__sig"), F.expr("sig = first").alias("__rest"))
+    others = groups.where("doc_id <> component_id").select("doc_id", F.col("sig").alias("__sig"), F.lit(False).alias("__rest")).distinct()
+    marks = materialise(others.unionByName(more), "marks")
     # Only documents that may be dropped are joined; the others' texts stay where they are.
     at = F.xxhash64(F.col("doc_id").cast("long"))
-    asked = passing(docs, id_filter(dropped.select(F.xxhash64("doc_id").alias("at")), "at"), at)
+    asked = passing(docs, id_filter(marks.select(F.xxhash64("doc_id").alias("at")), "at"), at)
     marked = docs.withColumn("__asked", asked)
-    sure, open_rows = marked.where("not __asked").select(*docs.columns), marked.where("__asked").select(*docs.columns)
-    kept = sure.unionByName(open_rows.join(dropped, "doc_id", "left_anti").select(*docs.columns))
-    repeated = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(docs.columns) if repeated else kept
+    sure, open_rows = marked.where("not __asked").select(*docs.columns), marked.where("__asked").withColumn("__sig", jaccard.digests())
+    kept = sure.unionByName(open_rows.join(marks, ["doc_id", "__sig"], "left_anti").select(*docs.columns))
+    twins = marks.where("__rest").select("doc_id", "__sig")
+    if not twins.limit(1).count():
+        return kept
+    one = open_rows.join(twins, ["doc_id", "__sig"]).groupBy("doc_id", "__sig").agg(F.min(F.struct(*docs.columns)).alias("__one"))
+    return kept.unionByName(one.select("__one.*"))
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,8 +24,9 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_filter, in_filter, materialise, small_batches
@@ -419,6 +420,16 @@ def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(both, "a long, b long")
 
 
+def digests(text: str = "text") -> Column:
+    """The digest of each row's set, as ``near_duplicate_rows`` gives it; null without words."""
+
+    @F.pandas_udf("long")
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series([signature(s) if len(s) else None for _, s in shingle_sets(pa.array(texts, pa.string()))], dtype="Int64")
+
+    return digest(F.col(text))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
@@ -426,6 +437,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nothing.  Rows of one id keep a row each.  A null id stays null and counts only
     where its class has no other.
     """
+    return near_duplicate_rows(docs, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``near_duplicates`` with ``sig``, the digest of the set, and ``label``, which names the class also where ids repeat; both null without words."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(text)
@@ -467,7 +483,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     named = materialise(classes.join(labels, classes["sig"] == labels["node"], "left").select("sig", "first", F.coalesce("label", "sig").alias("label")), "named")
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    known = named.join(lowest, "label").select("sig", "component_id")
-    linked = full.join(known, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    empty = described.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    known = named.join(lowest, "label").select("sig", "component_id", "label")
+    linked = full.join(known, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "sig", "label")
+    none = F.lit(None).cast("long")
+    empty = described.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("sig"), none.alias("label"))
     return linked.unionByName(empty)
