@@ -1,6 +1,7 @@
 """Secrets in text: fixed patterns, and tokens that a randomness battery picks out.
 
-Every run of at least ``SHORTEST`` base-64 signs, with padding, is a token.  Its encoding is
+Every run of at least ``SHORTEST`` base-64 signs, with padding, is a token; of a run that mixes the signs
+of both base-64 alphabets, so that none holds it, the parts that one holds are.  Its encoding is
 inferred from the signs it uses, and three tests ask whether its symbols look
 drawn at random from that alphabet: chi-squared for uniformity, the runs test
 about the alphabet's middle, and the lag-1 serial correlation.  Fisher's method
@@ -41,6 +42,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api")
 
 SHORTEST = 20
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
+#: Parts of a run that no alphabet holds: between its '+' and '/', between its '-' and '_', and between all of them.
+PARTS = [re.compile(r"[A-Za-z0-9%s]{%d,}={0,2}" % (more, SHORTEST)) for more in ("_-", "+/", "")]
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Alphabets, narrowest first.
@@ -115,6 +118,18 @@ def bin_of(score: np.ndarray) -> np.ndarray:
     return np.clip((np.log(np.maximum(score, 1e-9) + 1) / BIN).astype(int), 0, BINS - 1)
 
 
+def token_places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the tokens of a text, in order; parts of one run may overlap."""
+    out = []
+    for m in TOKEN.finditer(text):
+        run = m[0]
+        if ("+" in run or "/" in run) and ("-" in run or "_" in run):
+            out += sorted({(m.start() + x.start(), m.start() + x.end()) for part in PARTS for x in part.finditer(run)})
+        else:
+            out.append(m.span())
+    return out
+
+
 def score_tokens(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each pair of a token and an alphabet: the token, the alphabet, the band and the bin of the score.
 
@@ -164,7 +179,7 @@ def survey(docs: DataFrame, text: str = "text", rate: float = 0.01) -> dict[tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            tokens = [t for x in batch.column(0).to_pylist() if x for t in TOKEN.findall(x)]
+            tokens = [x[a:b] for x in batch.column(0).to_pylist() if x for a, b in token_places(x)]
             own, kinds, bands, bins = score_tokens(tokens)
             word = np.array([bool(WORD.fullmatch(t.rstrip("="))) for t in tokens], bool)
             seen.update(zip(word[own].tolist(), kinds.tolist(), bands.tolist(), bins.tolist(), strict=True) if len(own) else ())
@@ -202,15 +217,19 @@ def cuts(hist: np.ndarray, rate: float) -> dict[tuple[int, int], int]:
 
 
 def spans_of(texts: list[str | None], cut: dict[tuple[int, int], int]) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of each text, in order; a random token that meets a base span is part of that."""
+    """(start, kind, end) of each text, in order; a random token that meets a base span is part of that, and random ones that overlap are one."""
     out = [base_spans(x) if x else [] for x in texts]
-    where = [(i, m.start(), m.end()) for i, x in enumerate(texts) if x for m in TOKEN.finditer(x)]
+    where = [(i, a, b) for i, x in enumerate(texts) if x for a, b in token_places(x)]
     tokens = [texts[i][a:b] for i, a, b in where]
     own, kinds, bands, bins = score_tokens(tokens)
     for t, k, b, x in zip(own.tolist(), kinds.tolist(), bands.tolist(), bins.tolist(), strict=True):
         i, start, end = where[t]
         if x <= cut[k, b] and not WORD.fullmatch(tokens[t].rstrip("=")) and not any(a < end and start < e for a, kind, e in out[i] if kind < 3):
-            out[i].append((start, 3, end))
+            last = out[i][-1] if out[i] else (0, 0, 0)
+            if last[1] == 3 and start < last[2]:
+                out[i][-1] = (last[0], 3, max(end, last[2]))
+            else:
+                out[i].append((start, 3, end))
     return [sorted(x) for x in out]
 
 

@@ -71,6 +71,25 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[i].n_random for i in range(1, 60, 2)) == 0
 
 
+def test_random_parts_of_mixed_runs_are_found(spark):
+    """Runs with '/' and '-' fit no alphabet; random keys among their parts are found all the same, and paths of words are not."""
+    rng = random.Random(6)
+    words = ["consideration", "internationalization", "Donaudampfschifffahrt", "extraordinarily", "the", "path"]
+    plain = " ".join(rng.choice(words) for _ in range(200))
+    hidden, rows = {}, []
+    for i in range(60):
+        token = random_token(rng, secrets.ALPHABETS["base62"], 44)
+        hidden[i] = token
+        run = [f"com/web-hook/{token}", f"com/web-hook/x-{token}/y_z", "com/web-hook/internationalization/of-the/extraordinarily"][i % 3]
+        rows.append((i, f"{plain} https://a.b.{run} {plain}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = secrets.survey(docs)
+    found = {r.doc_id: r for r in secrets.scan(docs, cut).collect()}
+    left = {r.doc_id: r.text for r in secrets.redact(docs, cut).collect()}
+    assert sum(found[i].n_random == 1 for i in hidden if i % 3 < 2) >= 37 and sum(found[i].n_random for i in hidden if i % 3 == 2) == 0
+    assert all(hidden[i] not in left[i] for i in hidden if found[i].n_random) and all("https://a.b." in t for t in left.values())
+
+
 def test_redaction_keeps_every_row_and_column(spark):
     docs = spark.createDataFrame([(i, t, "l", "s", 0) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in secrets.redact(docs, secrets.survey(docs)).collect()}
