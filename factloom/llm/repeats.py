@@ -1,11 +1,10 @@
 """Removal of repeated passages: bytes covered by a string of ``LENGTH`` bytes that also starts earlier.
 
-Prefix doubling names the strings that start at each position: a rank of ``SEED`` bytes, pairs of
-ranks at growing offsets (32, then 36 more), which give the rank of 64 and of 100 bytes.  Names are hashes
-of the pairs, so a task names positions by itself; what needs Spark's sort is to find
+Winnowing with rolling hashes, in place of prefix doubling: strings are named by 64-bit hashes, which a task
+computes by itself, so there are no ranks and no rounds of sorting; a shuffle by name finds
 which names are shared, and positions whose name is unique go no further:
 
-1. At ``SEED`` bytes only sampled positions are sorted.  Each 100-byte window
+1. At ``SEED`` bytes only elected positions are shuffled.  Each 100-byte window
    elects the smallest seed name in it (the leftmost of equal ones).  Equal windows elect the same name
    at the same offset, so windows need comparing only where they share it; consecutive
    windows of one elected position travel together, as a *run* with the name of all its bytes.
@@ -72,7 +71,7 @@ class Names:
         return mixed((self.prefix[SEED:] - self.prefix[:n]) * self.down[:n] + np.uint64(SEED))
 
     def windows(self, start: np.ndarray) -> np.ndarray:
-        """Names of ``LENGTH`` bytes, of pairs of names at growing offsets."""
+        """Names of ``LENGTH`` bytes, each of the names of four seeds that cover it."""
         seed = self.seeds()
         pair = lambda x, y: mixed(x * ROOT + y)
         gap = LENGTH - 2 * SEED
