@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; long texts make the default of 10,000 rows too large.
-BATCH_ROWS = 1_000
+#: Rows and bytes of one Arrow batch; long texts make Spark's default of 10,000 rows too large.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests in local mode) a temporary folder is made, and set.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a temporary
+    folder is made, and set, in local mode alone: elsewhere each machine would have its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -42,15 +44,26 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{re.sub(r'[^A-Za-z0-9]+', '-', tag)}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what :func:`materialise` wrote, once everything that reads it has been written itself."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes that one Arrow batch of texts can take."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the rows and bytes of Arrow batches, for this session from here on; a row that is larger by itself is a batch alone."""
+    units = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).strip().lower()).groups()
+        if not 0 < int(number) << units[unit] <= most:
+            spark.conf.set(key, str(most))
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -66,27 +79,44 @@ def union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-#: Bits of a filter of ids (a constant size; what passes it wrongly finds nothing in the join that follows).
-FILTER_BITS = 1 << 23
-
+#: Bits for each id of a filter, and bits of the largest one (32 MB, 16 million ids): more ids get none.
+FILTER_EACH, FILTER_MOST = 16, 1 << 28
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit for each value of a hashed id column, as 64-bit words."""
-    at = F.expr(f"pmod({column}, {FILTER_BITS})")
-    words = ids.select(at.alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return bits
 
+def id_filter(ids: DataFrame, column: str) -> np.ndarray | None:
+    """A Bloom filter (two bits an id, from either half) of a hashed id column, as 64-bit words, sized by the ids' number.
 
-def in_filter(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    at = at % FILTER_BITS
-    return (bits[at >> 6] >> (at & 63)) & 1 == 1
-
-
-def passing(df: DataFrame, bits: np.ndarray, hashed: Column) -> Column:
+    What passes it wrongly finds nothing in the join that follows.  None beyond ``FILTER_MOST``: everything passes then,
+    which costs a shuffle of all rows and changes no result.
+    """
+    n = ids.count()
+    if n * FILTER_EACH > FILTER_MOST:
+        return None
+    bits = max(1 << 16, 1 << (n * FILTER_EACH - 1).bit_length())
+    at = F.explode(F.expr(f"array({column} & {bits - 1}L, shiftrightunsigned({column}, 32) & {bits - 1}L)"))
+    words = ids.select(at.alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()  # at most FILTER_MOST / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def in_filter(words: np.ndarray | None, hashed: np.ndarray) -> np.ndarray:
+    if words is None:
+        return np.ones(len(hashed), bool)
+    last = np.uint64(64 * len(words) - 1)
+    h = hashed.view(np.uint64)
+    hit = np.ones(len(h), bool)
+    for at in (h & last, (h >> np.uint64(32)) & last):
+        at = at.astype(np.int64)
+        hit &= (words[at >> 6] >> (at & 63)) & 1 == 1
+    return hit
+
+
+def passing(df: DataFrame, words: np.ndarray | None, hashed: Column) -> Column:
     """Whether a row's hashed id may be among those of the filter."""
-    sent = df.sparkSession.sparkContext.broadcast(bits)
+    if words is None:
+        return F.lit(True)
+    sent = df.sparkSession.sparkContext.broadcast(words)
 
     @F.pandas_udf("boolean")
     def found(at):

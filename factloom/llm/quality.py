@@ -2,18 +2,20 @@
 
 Two zstandard dictionaries are built, of good and of bad labelled texts.  A text is
 cut in blocks, so that a dictionary counts as much at the end of a long text as at
-its start, and compressed with either.  The normalised difference of the
-compressed sizes, with the compressed share of the text beside it, goes
-through a logistic calibration fitted on other labelled rows.
+its start, and compressed with either.  The normalised difference of the two compressed
+sizes is all that counts; isotonic regression on other labelled rows, each class
+weighted to its share of all labels, makes it a score.
 
 Learning takes a bounded sample of the labelled rows (``Bounds``), in the order of
-a hash of the id.  Null texts count as empty; those, like any text, get the score
-that the calibration gives.  Where one of the labels has no row to learn from,
+a hash of the id.  An id with both labels is left out; of several rows of one id
+the shortest text counts (then the smallest).  Null texts count as empty; those, like any text, get the score
+that the calibration gives, so equal texts have equal scores.  Where one of the labels has no row to learn from,
 every score is the share of good labels, or 0.5 without labels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,16 +36,15 @@ class Bounds:
     rows: int = 4_000
     dictionary_bytes: int = 3_000_000
     calibration_bytes: int = 6_000_000
-    dictionary_size: int = 131_072
+    dictionary_size: int = 262_144
 
 
 @dataclass(frozen=True)
 class Model:
     bad: bytes
     good: bytes
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
+    at: tuple[float, ...]  # size differences, growing, and the score of each
+    value: tuple[float, ...]
     constant: float | None = None
 
 
@@ -53,7 +54,7 @@ def blocks(text: str | None) -> list[bytes]:
 
 
 class Sizes:
-    """Compressed sizes of a text under the two dictionaries, and from them the features."""
+    """The normalised difference of a text's compressed sizes under the two dictionaries: positive where the good one does better."""
 
     def __init__(self, bad: bytes, good: bytes) -> None:
         import zstandard as zs
@@ -61,12 +62,10 @@ class Sizes:
         kw = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.both = [zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d), **kw) for d in (bad, good)]
 
-    def features(self, text: str | None) -> tuple[float, ...]:
+    def difference(self, text: str | None) -> float:
         parts = blocks(text)
-        size = max(1, sum(map(len, parts)))
         bad, good = (sum(len(c.compress(p)) for p in parts) for c in self.both)
-        gap, share = (bad - good) / (bad + good), (bad + good) / 2 / size
-        return gap, min(share, 4.0), gap * min(share, 4.0), float(np.log1p(size))
+        return (bad - good) / (bad + good)
 
 
 def dictionary(texts: list[str], size: int) -> bytes:
@@ -80,41 +79,37 @@ def dictionary(texts: list[str], size: int) -> bytes:
         return b"".join(samples)[-size:] or b" " * 8
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
-    """Ridge logistic regression with an intercept first, by damped Newton steps."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w, keep = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge
-
-    def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * w @ w)
-
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - ridge * w)
-        t, now = 1.0, loss(w)
-        while t > 1e-6 and loss(w + t * step) > now:
-            t /= 2
-        w = w + t * step
-        if np.abs(t * step).max() < 1e-8:
-            break
-    return w
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The non-decreasing step function nearest to ``y``, by pooling adjacent violators: both ends of each step and its value."""
+    order = np.argsort(x, kind="stable")
+    at, first = np.unique(x[order], return_index=True)  # equal differences have one score
+    total = np.add.reduceat(weight[order], first)
+    mean = np.add.reduceat((weight * y)[order], first) / total
+    steps: list[list[float]] = []  # first, last, weight, value
+    for a, w, v in zip(at, total, mean, strict=True):
+        steps.append([a, a, w, v])
+        while len(steps) > 1 and steps[-2][3] >= steps[-1][3]:
+            _, last, w1, v1 = steps.pop()
+            step = steps[-1]
+            step[1], step[2], step[3] = last, step[2] + w1, (step[2] * step[3] + w1 * v1) / (step[2] + w1)
+    return np.array([e for s in steps for e in s[:2]]), np.repeat([s[3] for s in steps], 2)
 
 
 def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Model:
     """Fit on rows of ``labels`` (``doc_id, quality``) outside fold 1, with the texts of ``docs``."""
     spark = docs.sparkSession
-    train = labels.where("doc_id is not null and quality in (0, 1)").where(fold() != 1).select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("at"))
+    train = labels.where("doc_id is not null and quality in (0, 1)").where(fold() != 1).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    train = train.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").select("doc_id", "quality", F.xxhash64("doc_id").alias("at"))
     # The first rows of each class by hash: a top-k of ids, then their sizes, then the texts that fit.
     ids = [train.where(F.col("quality") == q).orderBy("at", "doc_id").limit(bounds.rows).collect() for q in (0, 1)]
     known = {r.doc_id: (r.quality, r.at) for q in ids for r in q}
     counts = [len(q) for q in ids]
     if not all(counts):
-        return Model(b"", b"", (), (), (), counts[1] / sum(counts) if sum(counts) else 0.5)
+        return Model(b"", b"", (), (), counts[1] / sum(counts) if sum(counts) else 0.5)
     total = dict(train.groupBy("quality").count().collect())
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     wanted = spark.createDataFrame([(k,) for k in known], "doc_id long")
-    sizes = dict(texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.max(F.octet_length("text"))).collect())
+    sizes = dict(texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min(F.octet_length("text"))).collect())
     chosen: dict[int, str] = {}
     for q in (0, 1):
         room = {"dictionary": bounds.dictionary_bytes, "calibration": bounds.calibration_bytes}
@@ -124,19 +119,17 @@ def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
                 room[part] -= sizes[doc]
                 chosen[doc] = part
     if not chosen:
-        return Model(b"", b"", (), (), (), counts[1] / sum(counts))
-    picked = spark.createDataFrame([(k,) for k in chosen], "doc_id long")
-    got = sorted({r.doc_id: r.text for r in texts.join(F.broadcast(picked), "doc_id").collect()}.items(), key=lambda x: known[x[0]][1])
+        return Model(b"", b"", (), (), counts[1] / sum(counts))
+    picked = spark.createDataFrame([(k, sizes[k]) for k in chosen], "doc_id long, size int")
+    got = sorted(texts.join(F.broadcast(picked), "doc_id").where("octet_length(text) = size").groupBy("doc_id").agg(F.min("text")).collect(), key=lambda x: known[x[0]][1])
     made = [dictionary([t for d, t in got if chosen[d] == "dictionary" and known[d][0] == q], bounds.dictionary_size) for q in (0, 1)]
     sized = Sizes(*made)
     fit = [(d, t) for d, t in got if chosen[d] == "calibration"] or got
-    x, y = np.array([sized.features(t) for _, t in fit]), np.array([known[d][0] for d, _ in fit], float)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    w = logistic((x - mean) / scale, y)
-    # Classes were sampled to a bound each; the intercept is put back to their true shares.
-    if 0 < y.mean() < 1 and total.get(0) and total.get(1):
-        w[0] += np.log(total[1] / total[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return Model(*made, tuple(mean), tuple(scale), tuple(w))
+    x, y = np.array([sized.difference(t) for _, t in fit]), np.array([known[d][0] for d, _ in fit], float)
+    # Classes were sampled to a bound each; each weighs what all its labels do.
+    share = [total[q] / max(1, (y == q).sum()) for q in (0, 1)]
+    at, value = isotonic(x, y, np.where(y == 1, share[1], share[0]))
+    return Model(*made, tuple(at.tolist()), tuple(value.tolist()))
 
 
 def score(model: Model, text: str | Column = "text") -> Column:
@@ -145,10 +138,10 @@ def score(model: Model, text: str | Column = "text") -> Column:
         return F.lit(float(model.constant))
 
     @F.pandas_udf("double")
-    def compressed(texts: pd.Series) -> pd.Series:
+    def compressed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sized = Sizes(model.bad, model.good)
-        x = (np.array([sized.features(t) for t in texts]).reshape(len(texts), -1) - model.mean) / model.scale
-        return pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(model.weights[1:]) + model.weights[0], -40, 40))))
+        for texts in batches:
+            yield pd.Series(np.interp([sized.difference(t) for t in texts], model.at, model.value), dtype=float)
 
     return compressed(text)
 

@@ -2,12 +2,14 @@
 
 A rule is a host and a path prefix.  Each URL is expanded into the pairs of a
 host suffix (at label boundaries) and a path prefix that some rule *could* have:
-only label counts and path lengths that occur in the rule table are generated,
-so the expansion is as wide as the rules are varied, not as the URL is long.  The
-pairs meet the rules on a short hash prefix, a full digest confirms the match,
-and the longest rule wins.
-
-Null or malformed URLs have empty host and path and fit no rule.
+host suffixes are joined with the table of shapes (how many labels, and the path lengths
+that rules of so many labels have), so the expansion is as wide as the rules are varied,
+not as the URL is long.  The pairs meet the rules on a short hash prefix, a full digest confirms the match,
+and the longest rule wins.  Shapes and rules are broadcast where their bytes, counted first, stay
+below ``BROADCAST_BYTES``; larger ones are joined by shuffles.
+
+Null or malformed URLs have empty host and path and fit no rule.  Rules with a null host or path
+are ignored, repeated ones count once.  Repeated pages keep a row each.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rule bytes up to which the rule table is broadcast.
-BROADCAST_RULES = 50_000
+#: Bytes of rules, or of their shapes, up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Hex digits of the digest on which the join meets.
 SHORT = 8
 
@@ -48,10 +50,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     then the longer host, then ``block``.
     """
     known = rules.select("host", "path", "verdict", "source").where("host is not null and path is not null").dropDuplicates()
-    shapes = known.select(labels(F.col("host")).alias("n"), F.length("path").alias("m")).distinct()
-    count, shape_rows = known.count(), [(int(r.n), int(r.m)) for r in shapes.limit(10_001).collect()]
-    if len(shape_rows) > 10_000:
-        raise ValueError("rules of more than 10,000 different shapes")
+    shapes = known.groupBy(labels(F.col("host")).alias("_n")).agg(F.sort_array(F.collect_set(F.length("path"))).alias("_lengths"))
+    # Rows of a join also hold two digests, the verdict and the hit's numbers.
+    size = known.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 250), F.max(labels(F.col("host"))), F.max(F.length("path"))).first()
+    if size[0] is None:
+        size = (0, 0, 0)
+    shape_size = shapes.agg(F.sum(32 + 4 * F.size("_lengths"))).first()[0] or 0
     known = known.select(
         F.substring(digest(F.col("host"), F.col("path")), 1, SHORT).alias("_short"),
         digest(F.col("host"), F.col("path")).alias("_full"),
@@ -64,30 +68,25 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
             F.concat("host", "path").alias("rule"),
         ).alias("_hit"),
     )
-    if count <= BROADCAST_RULES:
+    if size[0] <= BROADCAST_BYTES:
         known = F.broadcast(known)
+    if shape_size <= BROADCAST_BYTES:
+        shapes = F.broadcast(shapes)
 
     pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c in pages.columns])
     parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     # What decides is the host and as much of the path as the longest rule has.
-    longest = max([m for _, m in shape_rows], default=0)
+    most_labels, longest = size[1], size[2]
     sites = parts.select("host", F.substring("path", 1, longest).alias("__url_head")).where("host <> ''").distinct()
     split = F.split(F.col("host"), r"\.")
-    pairs = [
-        F.when(
-            (F.size(split) >= n) & (F.length("__url_head") >= m),
-            F.struct(F.concat_ws(".", F.slice(split, F.greatest(F.size(split) - n + 1, F.lit(1)), n)).alias("h"), F.substring("__url_head", 1, m).alias("p")),
-        )
-        for n, m in sorted(shape_rows)
-    ]
-    if not pairs:
-        best = sites.select("host", "__url_head", F.lit(None).cast("struct<first:int,size:int,host_size:int,blocks:int,verdict:string,rule:string>").alias("__url_best")).limit(0)
-    else:
-        wide = sites.select("host", "__url_head", F.explode(F.array_compact(F.array(*pairs))).alias("_e"))
-        wide = wide.select("host", "__url_head", digest(F.col("_e.h"), F.col("_e.p")).alias("_digest"))
-        wide = wide.withColumn("_short", F.substring("_digest", 1, SHORT))
-        hits = wide.join(known, "_short").where(F.col("_digest") == F.col("_full"))
-        best = hits.groupBy("host", "__url_head").agg(F.max("_hit").alias("__url_best"))
+    ends = F.sequence(F.lit(1), F.least(F.size(split), F.lit(max(1, most_labels))))
+    wide = sites.select("host", "__url_head", F.explode(ends).alias("_n")).join(shapes, "_n")
+    wide = wide.select("host", "__url_head", "_n", F.explode(F.filter("_lengths", lambda m: m <= F.length("__url_head"))).alias("_m"))
+    suffix = F.concat_ws(".", F.slice(split, F.size(split) - F.col("_n") + 1, F.col("_n")))
+    wide = wide.select("host", "__url_head", digest(suffix, F.substring(F.col("__url_head"), F.lit(1), F.col("_m"))).alias("_digest"))
+    wide = wide.withColumn("_short", F.substring("_digest", 1, SHORT))
+    hits = wide.join(known, "_short").where(F.col("_digest") == F.col("_full"))
+    best = hits.groupBy("host", "__url_head").agg(F.max("_hit").alias("__url_best"))
     out = parts.withColumn("__url_head", F.substring("path", 1, longest)).join(best, ["host", "__url_head"], "left")
     return out.withColumns(
         {

@@ -210,3 +210,53 @@ def test_urls_without_rules_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     assert url_filter.judge_urls(pages, rules.limit(0)).first().verdict == "allow"
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+
+
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_urls_under_rules_of_many_shapes(spark, monkeypatch, most):
+    """More shapes than a plan could list, by broadcast and by shuffle, against a plain search."""
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", most)
+    rng = random.Random(8)
+    hosts = [".".join(rng.choice("abc") for _ in range(n)) for n in range(1, 7) for _ in range(4)]
+    rules = [(rng.choice(hosts), "/" + "p" * rng.randrange(2_200), rng.choice(["allow", "block"]), rng.choice(["contract", "method"])) for _ in range(15_000)]
+    urls = [f"http://{'.'.join([*rng.choices('abcd', k=rng.randint(0, 2)), rng.choice(hosts)])}/{'p' * rng.randrange(2_500)}{rng.choice(['', 'q', '?p', '#'])}" for _ in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string, source string")).collect()}
+    for i, url in enumerate(urls):
+        host, path = re.match(r"http://([^/]*)([^?#]*)", url).groups()
+        fit = [(s == "contract", len(h + p), len(h), v == "block", v, h + p) for h, p, v, s in set(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, default=(False, 0, 0, False, "allow", None))
+        assert got[i] == (best[5] if best[0] else None, best[4])
+
+
+def test_quality_is_isotonic_in_the_size_difference(spark):
+    """Scores against a plain restatement: two dictionaries, one number a text, pooled violators."""
+    import numpy as np
+    import zstandard as zs
+
+    rng = random.Random(9)
+    texts = [(i, speech(rng, "en", rng.randint(5, 60)) if i % 3 else " ".join(speech(rng, "de", 3).upper() for _ in range(rng.randint(2, 20)))) for i in range(240)]
+    rows = [*texts, (240, None), (241, ""), (5, "a longer row of the same id " * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in texts] + [(7, 0), (8, 1), (8, 0)], "doc_id long, quality int")
+    model = quality.learn(docs, labels)
+    both = [zs.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False, dict_data=zs.ZstdCompressionDict(d)) for d in (model.bad, model.good)]
+
+    def difference(text):
+        data = (text or "").encode()
+        parts = [data[i : i + 1024] for i in range(0, len(data), 1024)] or [b""]
+        bad, good = (sum(len(c.compress(p)) for p in parts) for c in both)
+        return (bad - good) / (bad + good)
+
+    for r in quality.classify(docs, model).collect():
+        assert r.score == pytest.approx(np.interp(difference(r.text), model.at, model.value), abs=1e-12)
+    assert list(model.value) == sorted(model.value) and model.at[0] <= model.at[-1]
+    x, y = np.array([3.0, 1.0, 2.0, 2.0, 5.0, 4.0]), np.array([1.0, 0.0, 1.0, 0.0, 1.0, 0.0])
+    at, value = quality.isotonic(x, y, np.ones(6))
+    assert dict(zip(at, value, strict=True)) == {1.0: 0.0, 2.0: 0.5, 4.0: 0.5, 5.0: 1.0}
+
+
+def test_quality_of_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.classify(docs, quality.learn(docs, labels)).count() == 0
