@@ -4,14 +4,15 @@ Copies first: sets are named by a digest, and only distinct sets take part furth
 
 *Small sets* (up to a size that a cost comparison chooses) enumerate their subsets of the size that two
 sets must share to be linked; whoever meets in a subset shares it, so sets that are
-small enough for it are linked without a look at them, each to the smallest one there.
+small enough for it are linked, each to the smallest one there.  Subsets are known by hashes, so the links are confirmed on the sets.
 
 *Large sets* put a prefix of their shingles in inverted lists, rare shingles first.  Two
 linked sets share a shingle of their prefixes, and moreover so many that what is left of either
 could not make up for fewer: pairs are counted over the lists, and only those with
 enough in common are compared.  How often shingles occur in prefixes is counted over all
 documents; those above ``HEAVY`` are *heavy*, go last in the order, and their lists
-are not paired out: a list first meets its own most typical member (a star), and only pairs that are
+are not paired out (tasks know them by a table of at most ``SLOTS_MOST`` slots; what shares a slot with
+a heavy shingle is treated as one, which changes the work and no link): a list first meets its own most typical member (a star), and only pairs that are
 then still in different components are looked at.  Of those, a pair without a common light shingle must share
 so many of the heavy ones in its prefixes that the first of them comes early in both, which leaves
 few.  So a large group of near copies costs its size and not its square, and no link is lost.
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, in_filter, materialise, small_batches
+from .common import discard, id_filter, in_filter, materialise, small_batches
 from .components import connected
 from .shingles import mixed, shingle_sets, signature
 
-#: Shingles of more prefixes than this are heavy; the threshold rises until at most ``HEAVY_MOST`` are (a bound of what tasks are sent).
-HEAVY, HEAVY_MOST = 16, 500_000
+#: Shingles of more prefixes than this are heavy.  Tasks are sent a table of so many slots for each, a byte a slot, and of so many slots at most.
+HEAVY, SLOTS_EACH, SLOTS_MOST = 16, 16, 1 << 23
 #: Largest size for which subsets are considered.
 SMALL_MOST = 16
 KNOWN = 1 << 20
@@ -73,17 +74,13 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
 
 
 class Heavy:
-    """The heavy shingles and how heavy: 0 for all others."""
+    """How heavy a shingle is, by its slot in a table: 0 for light ones."""
 
-    def __init__(self, shingle: np.ndarray, count: np.ndarray) -> None:
-        order = np.argsort(shingle)
-        self.shingle, self.grade = shingle[order], np.minimum(np.log2(np.maximum(count[order], 2)).astype(np.int64), 62)
+    def __init__(self, slots: np.ndarray) -> None:
+        self.slots, self.mask = slots, np.uint64(len(slots) - 1)
 
     def grades(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.shingle):
-            return np.zeros(len(x), np.int64)
-        at = np.minimum(np.searchsorted(self.shingle, x), len(self.shingle) - 1)
-        return np.where(self.shingle[at] == x, self.grade[at], 0)
+        return self.slots[(x & self.mask).astype(np.int64)]
 
     def ordered(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A set (in order of hash) rare shingles first, and the grades."""
@@ -149,18 +146,17 @@ def count_prefixes(texts: DataFrame, heavy: Heavy | None) -> DataFrame:
 
 
 def _collect_heavy(counts: DataFrame) -> Heavy:
-    limit = HEAVY
-    grades = {r.g: r.n for r in counts.groupBy(F.floor(F.log2(F.col("c") / HEAVY)).cast("int").alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 64 rows
-    for g in sorted(grades):
-        if sum(n for k, n in grades.items() if k >= g) <= HEAVY_MOST:
-            limit = HEAVY << max(g, 0)
-            break
-    rows = counts.where(F.col("c") > limit).toPandas()
-    return Heavy(rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64))
+    heavy = counts.where(F.col("c") > HEAVY)
+    n = max(1, heavy.count())
+    size = min(SLOTS_MOST, 1 << (n * SLOTS_EACH - 1).bit_length())
+    rows = heavy.groupBy(F.expr(f"cast(h & {size - 1}L as int)").alias("slot")).agg(F.max(F.floor(F.log2("c"))).cast("byte").alias("grade")).toPandas()  # at most a row a slot
+    slots = np.zeros(size, np.uint8)
+    slots[rows["slot"].to_numpy(np.int64)] = rows["grade"].to_numpy(np.uint8)
+    return Heavy(slots)
 
 
 def subset_links(small: DataFrame, x: int, parts: int) -> DataFrame:
-    """Links ``a, b`` among the sets ``sig, few`` of at most ``x`` shingles, enough of them to connect all that are linked."""
+    """Links ``a, b`` among the sets ``sig, few`` of at most ``x`` shingles, enough of them to connect all that are linked; each is confirmed."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, int]] = []
@@ -195,7 +191,9 @@ def subset_links(small: DataFrame, x: int, parts: int) -> DataFrame:
         pairs = np.unique(np.column_stack([sig[first][link], sig[link]]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return small.select("sig", "few").mapInArrow(spread, "key long, c int, sig long, n int").repartition(parts, "key").mapInArrow(meet, "a long, b long").distinct()
+    met = small.select("sig", "few").mapInArrow(spread, "key long, c int, sig long, n int").repartition(parts, "key").mapInArrow(meet, "a long, b long").distinct()
+    left, right = (small.select(F.col("sig").alias(end), F.col("few").alias(x)) for end, x in (("a", "x"), ("b", "y")))
+    return met.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
 
 
 def postings(texts: DataFrame, heavy: Heavy, least: int) -> DataFrame:
@@ -374,6 +372,19 @@ def enough(pairs: DataFrame) -> DataFrame:
     return whole.where((F.col("na") * 5 >= F.col("nb") * 4) & (F.col("c") + F.least("ha", "hb") + behind >= need)).select("a", "b")
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs ``a, b`` whose whole sets ``x, y`` are linked."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if len(x) > len(y):
+                x, y = y, x
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            keep.append(100 * common >= 80 * (len(x) + len(y) - common))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The links among ``pairs``, each pair's whole sets compared.
 
@@ -403,21 +414,10 @@ def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         if sigs:
             yield out()
 
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * common >= 80 * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     sets = docs.mapInArrow(wanted, "sig long, shingles binary").dropDuplicates(["sig"])
     left = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(both, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
 
 
 def digests(text: str = "text") -> Column:
@@ -454,6 +454,7 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     counts = materialise(count_prefixes(texts, None).where(f"c > {HEAVY // 4}"), "counts")
     again = materialise(count_prefixes(texts, _collect_heavy(counts)).where(f"c > {HEAVY // 4}"), "counts")
+    spent = [counts, again]
     counts = counts.unionByName(again).groupBy("h").agg(F.max("c").alias("c"))
     heavy = _collect_heavy(counts)
     meets = counts.where(f"c <= {HEAVY}").agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
@@ -470,18 +471,23 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
     star = star_pairs(hot.repartition(parts, "h")).select("a", "b")
     done = materialise(light.unionByName(star).distinct(), "pairs")
     placed = docs.select(place.alias("at"), F.col(text).alias("text"))
-    links = links.unionByName(materialise(compare(placed, done, classes), "links"))
+    found = materialise(compare(placed, done, classes), "links")
+    spent += [links, met, done, found, classes]
+    links = links.unionByName(found)
     labels = connected(links)
     if hot.limit(1).count():
         labelled = hot.join(labels, hot["sig"] == labels["node"], "left").select("h", "sig", "n", "heavies", "turn", F.coalesce("label", "sig").alias("label"))
         rest = apart(labelled.repartition(parts, "h")).select("a", "b").distinct()
         rest = materialise(rest.join(done, ["a", "b"], "left_anti"), "pairs-apart")
+        spent.append(rest)
         if rest.limit(1).count():
             more = materialise(compare(placed, rest, classes), "links-apart")
+            spent.append(more)
             if more.limit(1).count():
                 labels = connected(links.unionByName(more))
 
     named = materialise(classes.join(labels, classes["sig"] == labels["node"], "left").select("sig", "first", F.coalesce("label", "sig").alias("label")), "named")
+    discard(*spent)
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     known = named.join(lowest, "label").select("sig", "component_id", "label")
     linked = full.join(known, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "sig", "label")

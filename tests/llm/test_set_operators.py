@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import components, jaccard, mixing, packing, repeats, vectors
+from factloom.llm import common, components, jaccard, mixing, packing, repeats, vectors
 from factloom.llm.queries import tokenizer_path
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -74,8 +74,11 @@ def near_rows(rng):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_copies(spark, seed):
+@pytest.mark.parametrize(("seed", "slots", "bits"), [(1, 1 << 23, 1 << 28), (2, 1, 1 << 28), (3, 64, 0)])
+def test_near_copies(spark, monkeypatch, seed, slots, bits):
+    """Also where all shingles share one slot, or a few, with a heavy one, and where there are too many ids for a filter."""
+    monkeypatch.setattr(jaccard, "SLOTS_MOST", slots)
+    monkeypatch.setattr(common, "FILTER_MOST", bits)
     rows = near_rows(random.Random(seed))
     got = jaccard.near_duplicates(frame(spark, rows)).collect()
     assert sorted(tuple(r) for r in got) == plain_components(rows)
@@ -98,6 +101,23 @@ def test_subsets_and_prefixes_are_enough():
                 assert c in jaccard.subset_sizes(n, 16) and c in jaccard.subset_sizes(m, 16)
 
 
+def test_id_filter(spark):
+    rng = np.random.default_rng(0)
+    ids = rng.integers(-(2**63), 2**63, 30_000)
+    words = common.id_filter(spark.createDataFrame(pd.DataFrame({"at": ids[:10_000]})), "at")
+    assert common.in_filter(words, ids[:10_000]).all() and common.in_filter(words, ids[10_000:]).mean() < 0.03
+    assert len(words) * 64 >= 16 * 10_000 and common.in_filter(None, ids).all()
+
+
+def test_scratch(spark):
+    made = common.materialise(spark.range(3).toDF("x"), "some tag")
+    assert made.count() == 3
+    common.discard(made)
+    import os
+
+    assert not os.path.exists(made.written_at)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 100), (7, 7), (200, 201), (201, 200)]
     got = dict(components.connected(spark.createDataFrame(edges, "a long, b long")).collect())
