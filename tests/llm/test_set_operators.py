@@ -207,17 +207,68 @@ def test_exact_top_k(spark, monkeypatch, block):
 
 
 def test_cover_tree_covers():
-    x = np.random.default_rng(1).normal(size=(3_000, 8))
+    """Each child within half its parent's radius, centres further apart than that, every row in one child, the parent's centre among them."""
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(6, 1, 1, 8)) * 90 + rng.normal(size=(6, 6, 1, 8)) * 9 + rng.normal(size=(6, 6, 100, 8)) * 0.5).reshape(-1, 8)
+    depths = []
 
-    def walk(node):
+    def walk(node, depth):
+        depths.append(depth)
         d = np.sqrt(((x[node.rows] - node.centre) ** 2).sum(1))
-        assert d.max() <= node.radius + 1e-9
+        assert d.max() <= node.radius + 1e-9 and d.min() == 0
         if node.children:
             assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
+            centres = np.array([c.centre for c in node.children])
+            assert (centres[0] == node.centre).all() and node.apart == node.radius / 2
+            apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2)) + np.eye(len(centres)) * 1e9
+            assert apart.min() > node.apart
             for c in node.children:
-                walk(c)
-
-    walk(vectors.cover_tree(x))
+                assert c.radius <= node.apart
+                walk(c, depth + 1)
+
+    walk(vectors.cover_tree(x), 0)
+    assert max(depths) >= 2
+
+
+def test_far_pairs_are_not_scored():
+    """On clustered vectors both levels of the search leave most products out, and none that matters."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 16)) * 300
+    x = np.floor((centres[:, None] + rng.normal(size=(30, 400, 16)) * 5).reshape(-1, 16))
+    q = x[::50]
+    ids, q_ids = np.arange(len(x)), np.arange(len(x))[::50]
+    best = vectors.Best(q_ids, np.full(len(q), vectors.NONE), 5)
+    vectors.dual_tree(best, q, vectors.cover_tree(q, None, vectors.QUERY_LEAF), x, ids, vectors.cover_tree(x))
+    s = (q @ x.T).astype(np.int64)
+    s[np.arange(len(q)), q_ids] = vectors.NONE
+    assert (best.found == np.lexsort((np.broadcast_to(ids, s.shape), -s.astype(float)), axis=1)[:, :5]).all()
+    assert best.scored < 0.35 * s.size
+    pivots = vectors.pivots_of(x[::7], 30)
+    own, far = vectors._nearest(x, pivots)
+    radii = {int(p): float(far[own == p].max()) for p in np.unique(own)}
+    worst = {g: (float(far[::50][own[::50] == g].max()), int(np.sort(s[own[::50] == g], 1)[:, -5].min())) for g in np.unique(own[::50]).tolist()}
+    met = vectors.met_groups(pivots, len(pivots), radii, worst)
+    assert sum(map(len, met.values())) < 0.2 * len(met) * len(radii)
+    for i, found in enumerate(best.found):
+        assert set(own[found].tolist()) <= set(met[int(own[::50][i])])
+
+
+@pytest.mark.parametrize("block", [8_192, 2])
+def test_large_components(spark, monkeypatch, block):
+    """Products beyond doubles and beyond 64 bits: exact, then the nearest 64-bit number."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+    big = 2.0**40
+    rows = [(0, [1.0, 2.0]), (50, [big, 3.0]), (1, [big, 3.5]), (2, [-big, 1.0]), (3, [1e17, 1.0]), (4, [1e300, 0.0]), (5, [-1e300, 0.0]), (6, [1e308, 0.0]), (7, [0.5, 0.25]), (100, [1e300, -1e300])]
+    ints = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows if i != 6}
+    clip = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+    want = []
+    for q in (0, 50, 100):
+        scored = sorted((-clip(sum(a * b for a, b in zip(ints[q], v, strict=True))), i) for i, v in ints.items() if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    found = vectors.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    near = vectors.ann_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, share=1.0).collect()
+    assert [r.vec_id for r in sorted(near, key=lambda r: r["rank"]) if r.query_id == 0][:3] == [6, 4, 3]
 
 
 def test_ann(spark):
@@ -234,6 +285,27 @@ def test_ann(spark):
         assert np.allclose(part["score"], y[part["vec_id"]] @ y[q], atol=1e-12)
 
 
+def test_ann_with_a_common_vector(spark):
+    """Copies of one vector, several of one id, don't crowd out other candidates; ties go by id."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1_200, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[400:] = x[10]
+    ids = np.concatenate([np.arange(1_000), np.full(200, 500)])
+    got = vectors.ann_search(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    have: dict = {}
+    for r in got:
+        have.setdefault(r.query_id, []).append((-r.score, r.vec_id, r["rank"]))
+    right = total = 0
+    for q in range(0, 400, 20):
+        want = sorted((-float(x[j] @ x[q]), int(ids[j])) for j in range(1_200) if ids[j] != q)[:20]
+        assert sorted(r for _, _, r in have[q]) == list(range(1, 21))
+        right += len({(i, round(s, 9)) for s, i in want} & {(i, round(s, 9)) for s, i, _ in have[q]})
+        total += len({(i, round(s, 9)) for s, i in want})
+    assert right >= 0.9 * total
+    assert len(have[500]) == 20 * 201 and all(i != 500 for _, i, _ in have[500])
+
+
 def test_vectors_few_or_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.5, 0.5]), (7, [0.0, 1.0])], VECTORS)
     assert [tuple(r) for r in vectors.exact_top_k(few, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()] == [(0, 1, 100, 128 * 256), (0, 2, 7, 0), (100, 1, 0, 128 * 256), (100, 2, 7, 128 * 256)]
