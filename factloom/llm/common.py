@@ -66,6 +66,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def partitions(df: DataFrame, each: int = 16 << 20) -> int:
+    """Shuffle partitions for what a table read from files gives: one for every ``each`` bytes of it, the session's number at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(size // each, 200_000)) if size < 1 << 55 else least  # beyond that, nothing is known
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3

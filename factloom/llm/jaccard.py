@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_filter, in_filter, materialise, small_batches
+from .common import discard, id_filter, in_filter, materialise, partitions, small_batches
 from .components import connected
 from .shingles import mixed, shingle_sets, signature
 
@@ -446,7 +446,7 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
     small_batches(spark)
     texts = docs.select(text)
     place = F.xxhash64(F.col(key).cast("long"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = partitions(docs)
     described = materialise(describe(docs, key, text), "described")
     full = described.where("n > 0")
     # Of each set one document whose text is read again, where the set itself is needed.

@@ -8,9 +8,11 @@ feature space, one ridge regression for each language (one against the rest) is
 in it, and all of that is linear in the presence of n-grams, so that it folds into one
 matrix of n-grams by languages: scoring is a product of a batch's presence matrix with it.
 
-Learning takes a bounded sample: of each language ``rows`` texts, those of at most
-``longest`` signs, in the order of a hash of the id.  A text that is null or has
-no letter is ``und`` with score 0; so is every text where nothing could be learned.
+Learning takes a bounded sample, gathered in one pass: of each language ``rows`` texts, those of at most
+``longest`` signs, in the order of a hash of the id (then the id, then the text); many languages
+share ``texts`` texts, and no language goes without one, and ``marks`` landmarks, which need not be of every language.  A text that is null or has
+no letter is ``und`` with score 0; so is every text where nothing could be learned.  Equal
+scores go to the language that comes first by name; rows of one id, and equal texts, are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, slices, small_batches
@@ -33,12 +35,13 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Bounds:
-    """Of each language, texts to learn from, and landmarks among them; signs of a text; languages."""
+    """Of each language, texts to learn from, and landmarks among them; signs of a text; texts and landmarks of all languages."""
 
     rows: int = 400
     landmarks: int = 48
     longest: int = 20_000
-    languages: int = 500
+    texts: int = 8_000
+    marks: int = 1_000
 
 
 @dataclass(frozen=True)
@@ -128,14 +131,14 @@ def presence(texts: list[str | None], table: Table) -> tuple[np.ndarray, np.ndar
     return out.reshape(len(texts), -1), any_letter
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int, ridge: float = 1e-3) -> Model:
-    """Learn from (language, text) pairs; the first ``landmarks`` of each language are landmarks."""
+def fit(rows: list[tuple[str, str]], landmarks: int, ridge: float = 1e-3, most: int = 1_000) -> Model:
+    """Learn from (language, text) pairs; the first ``landmarks`` of each language are landmarks, ``most`` in all."""
     languages = sorted({k for k, _ in rows})
     taken: dict[str, int] = {}
     marks = []
     for k, text in rows:
         taken[k] = taken.get(k, 0) + 1
-        if taken[k] <= landmarks:
+        if taken[k] <= landmarks and len(marks) < most:
             marks.append(text)
     code, owner, _ = signs(marks)
     known = np.concatenate([np.unique(g) for g, _ in grams(code, owner)])  # no n-gram is 0, nor equal to one of another length
@@ -168,17 +171,17 @@ def learn(docs: DataFrame, bounds: Bounds = Bounds()) -> Model | None:
     """Fit on rows of ``docs`` (``doc_id, text, lang``) outside fold 1 that have a language."""
     rows = docs.where("doc_id is not null and lang is not null and text is not null").where(fold() != 1)
     rows = rows.where(F.length("text").between(1, bounds.longest)).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("at"))
-    counts = rows.groupBy("lang").count().limit(bounds.languages + 1).collect()
-    if len(counts) > bounds.languages:
-        raise ValueError(f"more than {bounds.languages} languages")
-    if not counts:
+    counts = rows.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
         return None
-    share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 2 * bounds.rows / r["count"])))])
-    wide = rows.where((F.col("at") / F.lit(2.0**64) + 0.5) < share[F.col("lang")])
-    got: list[tuple[str, str]] = []
-    for lang in sorted(r.lang for r in counts):
-        got += [(r.lang, r.text) for r in wide.where(F.col("lang") == lang).orderBy("at", "doc_id").limit(bounds.rows).collect()]
-    return fit(got, bounds.landmarks) if got else None
+    each, marks = max(1, min(bounds.rows, bounds.texts // languages)), max(1, min(bounds.landmarks, bounds.marks // languages))
+    # Twice what is wanted of a language passes by its hash; of that the first are taken.
+    few = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * each + 20) / F.col("count")).alias("_part"))
+    wide = rows.join(few, "lang").where((F.col("at") / F.lit(2.0**64) + 0.5) < F.col("_part"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id", "text"))
+    got = wide.withColumn("_turn", turn).where(F.col("_turn") <= each).orderBy("lang", "_turn").select("lang", "text").collect()
+    return fit([(r.lang, r.text) for r in got], marks, most=bounds.marks) if got else None
 
 
 def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

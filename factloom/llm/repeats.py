@@ -15,7 +15,8 @@ which names are shared, and positions whose name is unique go no further:
 
 Positions are ordered by document id and start; matches never cross documents.  Null texts count as
 empty, a null id comes before all others.  Rows of one id are one document: equal
-starts in them cover nothing.  A text is read whole; one row may hold up to 256 MB.
+starts in them cover nothing.  Texts of any length are worked on in pieces of ``CHUNK`` bytes, which overlap so that no
+window is lost; a run that ends with a piece is compared window by window where its copies end elsewhere.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, materialise, passing, ranges, slices, small_batches, text_bytes
+from .common import id_filter, materialise, partitions, passing, ranges, slices, small_batches, text_bytes
 from .shingles import mixed
 
 LENGTH, SEED = 100, 32
 WINDOW = LENGTH - SEED + 1
 CHUNK = 500_000
+#: Bytes of a piece of a long text.
+PIECE = 4_000_000
 PLACE_BITS = np.uint64(28)
 ROOT = np.uint64(0xD6E8FEB86659FD93)
 ROOT_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -85,8 +88,6 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     if n < LENGTH:
         none = np.zeros(0, np.int64)
         return {"doc": none, "name": none.astype(np.uint64), "place": none, "first": none, "last": none, "whole": none.astype(np.uint64)}
-    if n >= 1 << int(PLACE_BITS):
-        raise ValueError("a text of more than 256 MB")
     names = Names(data)
     seed = names.seeds()
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -114,15 +115,27 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first text, bytes, offsets, where the bytes begin in it): several texts whole, or a part of a long one."""
+    for a, b in slices(offsets, CHUNK):
+        at = offsets[a : b + 1]
+        size = int(at[-1] - at[0])
+        if b - a > 1 or size <= PIECE + LENGTH:
+            yield a, data[at[0] : at[-1]], at - at[0], 0
+            continue
+        for start in range(0, size - LENGTH + 1, PIECE):
+            part = data[at[0] + start : min(at[0] + start + PIECE + LENGTH - 1, at[-1])]
+            yield a, part, np.array([0, len(part)]), start
+
+
 def _sampled(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             key, twin = (batch.column(k).to_numpy() for k in (0, 1))
-            for a, b in slices(offsets, CHUNK):
-                at = offsets[a : b + 1]
-                r = runs(data[at[0] : at[-1]], at - at[0])
-                doc, place, before, more = key[a + r["doc"]], r["place"], r["place"] - r["first"], r["last"] - r["first"]
+            for a, part, at, begin in _pieces(data, offsets):
+                r = runs(part, at)
+                doc, place, before, more = key[a + r["doc"]], r["place"] + begin, r["place"] - r["first"], r["last"] - r["first"]
                 # Of equal runs in a chunk the earliest stands for all; the others are covered already and go anywhere but to its group.
                 same = mixed(r["name"] + _kind(r["whole"], before, more))
                 order = np.lexsort((place, doc, same))
@@ -255,11 +268,10 @@ def _compare_windows(windows: DataFrame, parts: int) -> DataFrame:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got).combine_chunks()
+        t = pa.Table.from_batches(got)
         key, back, doc, twin, first = (t.column(k).to_numpy() for k in ("key", "back", "doc", "twin", "first"))
-        strings = t.column("bytes").chunk(0)
-        _, offsets, _ = strings.buffers()
-        offsets = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+        strings = pa.concat_arrays([c.cast(pa.large_binary()) for c in t.column("bytes").chunks])
+        offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
         data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
         size = np.diff(offsets)
         count = np.where(size > 0, size - LENGTH + 1, 1)
@@ -322,7 +334,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered_ranges(docs: DataFrame) -> DataFrame:
     """``doc, twin, first, last`` of all ranges of window starts that are covered; ``docs`` has ``doc, twin, text``."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = partitions(docs)
     found = materialise(_compare_runs(_sampled(docs), parts), "runs")
     contested = found.where("contested")
     windows = materialise(_compare_windows(_windows(docs, contested), parts), "windows")

@@ -1,20 +1,21 @@
 """Secrets in text: fixed patterns, and tokens that a randomness battery picks out.
 
 Every run of at least ``SHORTEST`` base-64 signs, with padding, is a token; of a run that mixes the signs
-of both base-64 alphabets, so that none holds it, the parts that one holds are.  Its encoding is
-inferred from the signs it uses, and three tests ask whether its symbols look
+of both base-64 alphabets the parts that one of them holds are tokens too.  Its encoding is
+inferred from the signs it uses (the narrowest alphabet that holds them), and three tests ask whether its symbols look
 drawn at random from that alphabet: chi-squared for uniformity, the runs test
-about the alphabet's middle, and the lag-1 serial correlation.  Fisher's method
+(of vowels and consonants among letters of one case, else about the alphabet's middle), and the lag-1 serial correlation.  Fisher's method
 joins them in one score; a small score looks random.
 
-What remains is to tell random tokens from words.  Tokens made of letters alone in
-a natural case are the corpus's own words; scored under every alphabet that holds
-them they give, for each alphabet and band of lengths, the score's distribution
-under "it is a word".  A token's p-value is its place in that distribution, and
+What remains is to tell random tokens from words, by the tests alone.  Tokens made of small letters, or of a capital and
+small ones, are the corpus's own words but for a few; scored under every alphabet that holds
+them in either case they give, for each alphabet and band of lengths, the score's distribution
+under "it is a word", by its median and the spread above it, which few random tokens cannot move.  A token's p-value is its place in that distribution, and
 Benjamini and Hochberg's step-up holds the share of false discoveries among all
-tokens at ``rate``.  What is gathered for that is a histogram of fixed size.
+tokens, words included, at ``rate``.  What is gathered for that is a histogram of fixed size.
 
-Null and empty texts have no spans; repeated rows count as often as they stand.
+The tests know random tokens from words where there is enough to see: capitals or small letters alone and tokens under 20
+signs are found less often than longer or mixed ones, and random letters that outnumber the words of their lengths hide each other.  Null and empty texts have no spans; texts of any length are scanned whole; repeated rows count as often as they stand.
 """
 
 from __future__ import annotations
@@ -40,35 +41,44 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 
-SHORTEST = 20
+SHORTEST = 16
+#: The part of false discoveries that is aimed at.
+RATE = 0.002
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
-#: Parts of a run that no alphabet holds: between its '+' and '/', between its '-' and '_', and between all of them.
+#: Parts of a run that mixes both base-64 variants: between its '+' and '/', between its '-' and '_', and between all of them.
 PARTS = [re.compile(r"[A-Za-z0-9%s]{%d,}={0,2}" % (more, SHORTEST)) for more in ("_-", "+/", "")]
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+WORD = re.compile(r"[A-Z]?[a-z]+")
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Alphabets, narrowest first.
 ALPHABETS = {
     "hex": DIGITS + "abcdef",
     "HEX": DIGITS + "ABCDEF",
+    "lower": LOWER,
+    "upper": UPPER,
     "base32": UPPER + "234567",
     "base36": DIGITS + LOWER,
     "BASE36": DIGITS + UPPER,
     "base62": UPPER + LOWER + DIGITS,
     "base64": UPPER + LOWER + DIGITS + "+/",
     "base64url": UPPER + LOWER + DIGITS + "-_",
+    "either": UPPER + LOWER + DIGITS + "+/-_",
 }
 NAMES = list(ALPHABETS)
 CODES = np.full((len(NAMES), 128), -1, np.int64)
 for _k, _signs in enumerate(ALPHABETS.values()):
-    CODES[_k, [ord(c) for c in _signs]] = np.arange(len(_signs))
+    for _fold in (str.upper, str.lower, str):  # a word counts in alphabets of one case as if written in it
+        CODES[_k, [ord(_fold(c)) for c in _signs]] = np.arange(len(_signs))
 SIZES = np.array([len(x) for x in ALPHABETS.values()])
+#: Which signs count as high in the runs test.
+HIGH = np.arange(72)[None, :] >= SIZES[:, None] / 2
+HIGH[[NAMES.index("lower"), NAMES.index("upper")]] = np.isin(np.arange(72), [LOWER.index(c) for c in "aeiouy"])
 
 BANDS, BINS, BIN = 16, 160, 0.05
 #: Fisher's statistic of three tests above which randomness itself is rejected (chi-squared, 6 degrees, 0.999).
 NOT_RANDOM = 22.46
 #: The chance that two signs of a word are equal (of one that hexadecimal holds, with six letters only), and the
-#: weight, in words, of this prior where a corpus has few.
-COINCIDENCE, PRIOR_SD, PRIOR_WEIGHT = np.where(SIZES == 16, 0.2, 0.066), 0.35, 20
+#: weight, in words, of this prior where a band has few.
+COINCIDENCE, PRIOR_SD, PRIOR_WEIGHT = np.where(SIZES == 16, 0.2, 0.066), 0.35, 100
 
 
 def log_sf(z: np.ndarray) -> np.ndarray:
@@ -85,15 +95,15 @@ def chi_z(x2: np.ndarray, df: np.ndarray) -> np.ndarray:
     return (np.cbrt(x2 / df) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df))
 
 
-def battery(codes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Fisher's statistic of the three tests, of consecutive tokens in ``codes`` over alphabets of ``sizes`` signs."""
-    n, m = lengths.astype(float), len(lengths)
+def battery(codes: np.ndarray, lengths: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Fisher's statistic of the three tests, of consecutive tokens in ``codes`` over alphabets of those ``kinds``."""
+    n, m, sizes = lengths.astype(float), len(lengths), SIZES[kinds].astype(float)
     owner = np.repeat(np.arange(m), lengths)
-    counts = np.bincount(owner * 64 + codes, minlength=m * 64).reshape(m, 64).astype(float)
+    counts = np.bincount(owner * 72 + codes, minlength=m * 72).reshape(m, 72).astype(float)
     x2 = sizes / n * (counts**2).sum(1) - n
     p_chi = log_sf(chi_z(np.maximum(x2, 0), sizes - 1.0))
 
-    high = (codes >= sizes[owner] / 2).astype(float)
+    high = HIGH[kinds[owner], codes].astype(float)
     n1 = np.bincount(owner, high, m)
     same = owner[1:] == owner[:-1]
     runs = 1 + np.bincount(owner[1:], same & (high[1:] != high[:-1]), m)
@@ -124,7 +134,7 @@ def token_places(text: str) -> list[tuple[int, int]]:
     for m in TOKEN.finditer(text):
         run = m[0]
         if ("+" in run or "/" in run) and ("-" in run or "_" in run):
-            out += sorted({(m.start() + x.start(), m.start() + x.end()) for part in PARTS for x in part.finditer(run)})
+            out += sorted({m.span(), *((m.start() + x.start(), m.start() + x.end()) for part in PARTS for x in part.finditer(run))})
         else:
             out.append(m.span())
     return out
@@ -133,9 +143,8 @@ def token_places(text: str) -> list[tuple[int, int]]:
 def score_tokens(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each pair of a token and an alphabet: the token, the alphabet, the band and the bin of the score.
 
-    A word is paired with all alphabets that hold it, another token with the
-    narrowest; padding at its end is left out, and one that no alphabet holds has
-    no pair.
+    A word is paired with all alphabets that hold it in either case, first the narrowest that holds it as it is, another token with the
+    narrowest; padding at its end is left out.
     """
     cut = [t.rstrip("=") for t in tokens]
     own, which = [], []
@@ -144,6 +153,9 @@ def score_tokens(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             continue
         signs = {*t}
         fits = [k for k, name in enumerate(NAMES) if signs <= _SETS[name]]
+        if WORD.fullmatch(t):
+            low, high = {*t.lower()}, {*t.upper()}
+            fits = fits[:1] + [k for k, name in enumerate(NAMES) if k != fits[0] and (low <= _SETS[name] or high <= _SETS[name])]
         for k in fits if WORD.fullmatch(t) else fits[:1]:
             own.append(i)
             which.append(k)
@@ -154,7 +166,12 @@ def score_tokens(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     flat = np.frombuffer("".join(cut[i] for i in own).encode("ascii"), np.uint8)
     kinds = np.array(which)
     codes = CODES[np.repeat(kinds, lengths), flat]
-    return np.array(own), kinds, band_of(lengths), bin_of(battery(codes, lengths, SIZES[kinds].astype(float)))
+    return np.array(own), kinds, band_of(lengths), bin_of(battery(codes, lengths, kinds))
+
+
+def _narrowest(own: np.ndarray) -> np.ndarray:
+    """Of each token's pairs the first, under which it is tested."""
+    return np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
 
 
 _SETS = {k: set(v) for k, v in ALPHABETS.items()}
@@ -172,7 +189,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def survey(docs: DataFrame, text: str = "text", rate: float = 0.01) -> dict[tuple[int, int], int]:
+def survey(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[tuple[int, int], int]:
     """The highest score bin that counts as random, by alphabet and band of lengths; -1 where none does."""
     small_batches(docs.sparkSession)
 
@@ -181,32 +198,53 @@ def survey(docs: DataFrame, text: str = "text", rate: float = 0.01) -> dict[tupl
         for batch in batches:
             tokens = [x[a:b] for x in batch.column(0).to_pylist() if x for a, b in token_places(x)]
             own, kinds, bands, bins = score_tokens(tokens)
-            word = np.array([bool(WORD.fullmatch(t.rstrip("="))) for t in tokens], bool)
-            seen.update(zip(word[own].tolist(), kinds.tolist(), bands.tolist(), bins.tolist(), strict=True) if len(own) else ())
+            if not len(own):
+                continue
+            word = np.array([bool(WORD.fullmatch(t.rstrip("="))) for t in tokens], bool)[own]
+            for kind, these in ((True, word), (False, _narrowest(own))):
+                seen.update(zip([kind] * int(these.sum()), kinds[these].tolist(), bands[these].tolist(), bins[these].tolist(), strict=True))
         rows = [(*k, n) for k, n in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["word", "kind", "band", "bin", "n"])
 
     found = docs.select(text).mapInArrow(run, "word boolean, kind int, band int, bin int, n long")
     hist = np.zeros((2, len(NAMES), BANDS, BINS))
-    for r in found.groupBy("word", "kind", "band", "bin").agg(F.sum("n").alias("n")).collect():  # at most 2 x 8 x 16 x 160 rows
+    for r in found.groupBy("word", "kind", "band", "bin").agg(F.sum("n").alias("n")).collect():  # at most 2 x 11 x 16 x 160 rows
         hist[int(r.word), r.kind, r.band, r.bin] = r.n
     return cuts(hist, rate)
 
 
-def cuts(hist: np.ndarray, rate: float) -> dict[tuple[int, int], int]:
-    """Benjamini and Hochberg's step-up over the tokens of a histogram, its words as the null."""
+def _centre(at: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Median, spread above it (random tokens among the words lie below), and total weight, of a histogram."""
+    total = float(weight.sum())
+    if not total:
+        return 0.0, 0.0, 0.0
+    mu = float(at[np.searchsorted(np.cumsum(weight), total / 2)])
+    up = weight * (at >= mu)
+    return mu, math.sqrt(float(up @ (at - mu) ** 2 / up.sum())), total
+
+
+def chances(hist: np.ndarray) -> np.ndarray:
+    """How likely a word's score is as low as each bin, by alphabet and band of lengths.
+
+    What the coincidences of a word's letters let expect is corrected by the words of the band as far as it has many.
+    """
     at = (np.arange(BINS) + 0.5) * BIN
+    n = SHORTEST * 2 ** ((np.arange(BANDS) + 0.5) / 4)
     p = np.ones((len(NAMES), BANDS, BINS))
     for k in range(len(NAMES)):
+        x2 = n * (SIZES[k] * COINCIDENCE[k] - 1) + SIZES[k] - 1
+        mean = np.log(1 - 2 * log_sf(chi_z(x2, np.array(SIZES[k] - 1.0))) + 4 * math.log(2))
         for b in range(BANDS):
-            n = SHORTEST * 2 ** ((b + 0.5) / 4)
-            x2 = n * (SIZES[k] * COINCIDENCE[k] - 1) + SIZES[k] - 1
-            mean = math.log(1 + float(-2 * log_sf(chi_z(np.array(x2), np.array(SIZES[k] - 1.0)))) + 4 * math.log(2))
-            w = hist[1, k, b]
-            total = w.sum() + PRIOR_WEIGHT
-            mu = (w @ at + PRIOR_WEIGHT * mean) / total
-            sd = math.sqrt((w @ (at - mu) ** 2 + PRIOR_WEIGHT * (PRIOR_SD**2 + (mean - mu) ** 2)) / total)
-            p[k, b] = np.exp(log_sf((mu - at) / sd))
+            mu, sd, total = _centre(at, hist[1, k, b])
+            part = PRIOR_WEIGHT / (PRIOR_WEIGHT + total)
+            mu, sd = part * mean[b] + (1 - part) * mu, math.sqrt(part * PRIOR_SD**2 + (1 - part) * sd**2)
+            p[k, b] = np.exp(log_sf((mu - at) / max(sd, BIN)))
+    return p
+
+
+def cuts(hist: np.ndarray, rate: float) -> dict[tuple[int, int], int]:
+    """Benjamini and Hochberg's step-up over the tokens of a histogram, its words as the null."""
+    p, at = chances(hist), (np.arange(BINS) + 0.5) * BIN
     tokens = hist[0].reshape(-1)
     order = np.argsort(p.reshape(-1), kind="stable")
     below = np.cumsum(tokens[order])
@@ -222,9 +260,10 @@ def spans_of(texts: list[str | None], cut: dict[tuple[int, int], int]) -> list[l
     where = [(i, a, b) for i, x in enumerate(texts) if x for a, b in token_places(x)]
     tokens = [texts[i][a:b] for i, a, b in where]
     own, kinds, bands, bins = score_tokens(tokens)
-    for t, k, b, x in zip(own.tolist(), kinds.tolist(), bands.tolist(), bins.tolist(), strict=True):
+    first = _narrowest(own)
+    for t, k, b, x in zip(*(c[first].tolist() for c in (own, kinds, bands, bins)), strict=True):
         i, start, end = where[t]
-        if x <= cut[k, b] and not WORD.fullmatch(tokens[t].rstrip("=")) and not any(a < end and start < e for a, kind, e in out[i] if kind < 3):
+        if x <= cut[k, b] and not any(a < end and start < e for a, kind, e in out[i] if kind < 3):
             last = out[i][-1] if out[i] else (0, 0, 0)
             if last[1] == 3 and start < last[2]:
                 out[i][-1] = (last[0], 3, max(end, last[2]))
@@ -279,6 +318,6 @@ def redact(docs: DataFrame, cut: dict[tuple[int, int], int], text: str = "text",
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
+def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """Survey ``docs`` for the false-discovery threshold, then scan them."""
     return scan(docs, survey(docs, rate=rate))

@@ -161,6 +161,17 @@ def test_repeats(spark, monkeypatch, crowd):
     assert sorted(tuple(r) for r in got) == plain_repeats(rows)
 
 
+def test_repeats_in_long_texts(spark, monkeypatch):
+    """Pieces of a long text lose no window, also where they cut a passage or a run."""
+    monkeypatch.setattr(repeats, "CHUNK", 500)
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    rng = random.Random(11)
+    passage = text(rng, 160)
+    rows = [(1, text(rng, 900) + passage + text(rng, 500)), (2, text(rng, 33) + passage), (3, passage * 3), (4, "ab" * 3_000), (5, text(rng, 777) + passage[13:]), (6, text(rng, 20))]
+    got = repeats.remove_repeats(frame(spark, rows)).collect()
+    assert sorted(tuple(r) for r in got) == plain_repeats(rows)
+
+
 def test_repeats_odd_rows(spark):
     t = "p" * 50 + "".join(chr(97 + i % 26) for i in range(300))
     got = repeats.remove_repeats(frame(spark, [(1, t), (1, t), (None, t), (2, None), (1, "short")])).collect()
@@ -430,3 +441,30 @@ def test_share_is_kept_where_some_cells_are_barred():
     own, fitted = np.array([0.2, 0.5, 0.3]), np.array([0.0, 0.9, 0.1])
     assert own @ mixing.keep_probability(own, fitted, 0.7) == pytest.approx(0.7, abs=1e-9)
     assert mixing.keep_probability(own, fitted, 0.9).tolist() == [0, 1, 1]
+
+
+def doubled(docs):
+    """Covered starts ``doc_id, at`` by prefix doubling over every byte position, as Spark joins: ranks of 25, 50, then 100 bytes; unique positions go."""
+    starts = docs.where("octet_length(text) >= 25").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    starts = starts.select("doc_id", "b", F.explode(F.sequence(F.lit(0), F.length("b") - 25)).alias("at"))
+    ranked = starts.select("doc_id", "at", F.xxhash64(F.substring(F.col("b"), F.col("at") + 1, F.lit(25))).alias("x"), F.lit(0).cast("long").alias("y"))
+    for h in (25, 50, None):
+        classes = ranked.groupBy("x", "y").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        kept = ranked.join(classes, ["x", "y"]).select("doc_id", "at", "first", F.xxhash64("first").alias("rank"))
+        if h is None:
+            return kept.where("doc_id <> first.doc_id or at <> first.at").select("doc_id", "at")
+        after = kept.select("doc_id", (F.col("at") - h).alias("at"), F.col("rank").alias("y"))
+        ranked = kept.select("doc_id", "at", F.col("rank").alias("x")).join(after, ["doc_id", "at"])
+
+
+def test_repeats_agree_with_prefix_doubling(spark):
+    """The dealt method, which is too dear for whole tables, on a small one."""
+    rng = random.Random(17)
+    passage = text(rng, 50)
+    rows = [(i, f"{text(rng, 20)} {passage if i % 3 else ''} {text(rng, 20)}") for i in range(12)] + [(20, "xyz" * 60)]
+    docs = frame(spark, rows)
+    want: dict = {}
+    for r in doubled(docs).collect():
+        want.setdefault(r.doc_id, set()).update(range(r.at, r.at + 100))
+    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs).collect()}
+    assert got == {i: len(want.get(i, ())) for i, _ in rows} and sum(got.values()) > 500

@@ -90,6 +90,49 @@ def test_random_parts_of_mixed_runs_are_found(spark):
     assert all(hidden[i] not in left[i] for i in hidden if found[i].n_random) and all("https://a.b." in t for t in left.values())
 
 
+def histogram(texts):
+    import numpy as np
+
+    out = np.zeros((2, len(secrets.NAMES), secrets.BANDS, secrets.BINS))
+    tokens = [x[a:b] for x in texts for a, b in secrets.token_places(x)]
+    own, kinds, bands, bins = secrets.score_tokens(tokens)
+    for i, (t, k, b, n) in enumerate(zip(own, kinds, bands, bins, strict=True)):
+        out[1, k, b, n] += bool(secrets.WORD.fullmatch(tokens[t]))
+        out[0, k, b, n] += i == 0 or own[i - 1] != t
+    return out
+
+
+@pytest.mark.parametrize(("kind", "n", "least"), [("base62", 24, 0.8), ("base64", 32, 0.9), ("either", 40, 0.9), ("BASE36", 40, 0.6), ("base36", 40, 0.6), ("upper", 64, 0.6)])
+def test_recall_by_kind(kind, n, least):
+    """Random tokens of each kind among words as long as they: the part that is found, and few words with them."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice(SYLLABLES["de"].split() + SYLLABLES["en"].split()) for _ in range(rng.randint(6, 30))) for _ in range(3_000)]
+    words = [w for w in words if w.isascii()]
+    hidden = [random_token(rng, secrets.ALPHABETS[kind], n) for _ in range(100)]
+    texts = [f"a {w} b" for w in words + hidden]
+    found = secrets.spans_of(texts, secrets.cuts(histogram(texts), secrets.RATE))
+    assert sum(bool(s) for s in found[len(words) :]) >= least * len(hidden) and sum(bool(s) for s in found[: len(words)]) <= 5
+
+
+def test_step_up_is_benjamini_and_hochbergs():
+    """The cuts by histogram are those of a step-up over the tokens one by one."""
+    import numpy as np
+
+    rng = random.Random(14)
+    texts = [f"a {speech(rng, 'en', 1) * rng.randint(6, 20)} {random_token(rng, secrets.ALPHABETS[k], rng.randint(16, 60))} b" for k in secrets.NAMES for _ in range(40)]
+    hist = histogram(texts)
+    p = secrets.chances(hist)
+    for rate in (0.001, 0.05):
+        cut = secrets.cuts(hist, rate)
+        tokens = [(float(p[i]), i) for i in np.ndindex(p.shape) for _ in range(int(hist[0][i]))]
+        tokens.sort()
+        last = max((j for j, (x, _) in enumerate(tokens, 1) if x <= rate * j / len(tokens)), default=0)
+        worst = tokens[last - 1][0] if last else -1.0
+        for x, (k, b, n) in tokens:
+            random_enough = np.exp((n + 0.5) * secrets.BIN) - 1 <= secrets.NOT_RANDOM
+            assert (n <= cut[k, b]) == (x <= worst and random_enough)
+
+
 def test_redaction_keeps_every_row_and_column(spark):
     docs = spark.createDataFrame([(i, t, "l", "s", 0) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in secrets.redact(docs, secrets.survey(docs)).collect()}
@@ -144,6 +187,18 @@ def test_folded_weights_are_the_kernel():
     assert sum(a == b for a, (b, _) in zip(names, rows, strict=True)) == len(rows)
 
 
+def test_many_languages_share_the_sample(spark):
+    """No bound on languages: each keeps a text, in one pass."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(chr(0x4E00 + 7 * (i % 600)) + chr(97 + rng.randrange(26)) for _ in range(20)), f"l{i % 600:03}") for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, language.Bounds(texts=1_200, marks=700))
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert set(model.languages) == learned and len(learned) > 500
+    names, _ = language.predict_texts(model, [t for _, t, _ in rows[:600]])
+    assert sum(n == lang for n, (_, _, lang) in zip(names, rows, strict=False)) > 250
+
+
 def test_every_n_gram_of_a_landmark_counts():
     """More n-grams than a table of fixed size tells apart."""
     import numpy as np
