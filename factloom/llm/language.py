@@ -30,6 +30,7 @@ from .common import fold, slices, small_batches
 LONGEST = 3
 #: Texts of one presence matrix.
 ROWS = 64
+BROADCAST_LANGUAGES = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,7 +179,8 @@ def learn(docs: DataFrame, bounds: Bounds = Bounds()) -> Model | None:
     each, marks = max(1, min(bounds.rows, bounds.texts // languages)), max(1, min(bounds.landmarks, bounds.marks // languages))
     # Twice what is wanted of a language passes by its hash; of that the first are taken.
     few = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * each + 20) / F.col("count")).alias("_part"))
-    wide = rows.join(few, "lang").where((F.col("at") / F.lit(2.0**64) + 0.5) < F.col("_part"))
+    # Texts stay where they are unless there are more languages than a broadcast may hold.
+    wide = rows.join(F.broadcast(few) if languages <= BROADCAST_LANGUAGES else few, "lang").where((F.col("at") / F.lit(2.0**64) + 0.5) < F.col("_part"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id", "text"))
     got = wide.withColumn("_turn", turn).where(F.col("_turn") <= each).orderBy("lang", "_turn").select("lang", "text").collect()
     return fit([(r.lang, r.text) for r in got], marks, most=bounds.marks) if got else None
