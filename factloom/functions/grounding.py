@@ -11,6 +11,7 @@ UNSUPPORTED = "not in cited blocks"
 NUMBER = r"(\p{Nd}[\p{Nd},]*\.?\p{Nd}*)"
 #: Accounts print negative figures in parentheses.
 NEGATIVE = r"\((?U:\s*)(\p{Nd}[\p{Nd},]*\.?\p{Nd}*)(?U:\s*)[^)\p{Nd}]{0,8}\)"
+# The pattern defines what counts as a date.
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 DATE = rf"(?iU)(\b(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b|\b\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b)"
 
@@ -44,16 +45,22 @@ def grounding_issues(value: Column, qualifiers: Column, cited: Column) -> Column
     A value is written as Spark prints the double.
     """
     cited = F.coalesce(cited, F.lit(""))
-    dates = dates_in(cited)
-    bad_value = value.isNotNull() & ~F.array_contains(numbers_in(cited), canonical(value))
-    of_value = F.when(bad_value, F.array(F.concat(F.lit("value "), value.cast("string"), F.lit(f" {UNSUPPORTED}")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    # The text is read once: what it holds is bound to the variable of a lambda over one element.
+    held = F.array(F.struct(numbers_in(cited).alias("numbers"), dates_in(cited).alias("dates")))
 
-    def of_qualifier(q: Column) -> Column:
-        missing = F.filter(dates_in(F.coalesce(q["value"], F.lit("None"))), lambda d: ~F.array_contains(dates, d))
-        return F.transform(missing, lambda _: F.concat(q["key"], F.lit("="), q["value"], F.lit(f" {UNSUPPORTED}")))
+    def of_text(held: Column) -> Column:
+        bad_value = value.isNotNull() & ~F.array_contains(held["numbers"], canonical(value))
+        of_value = F.when(bad_value, F.array(F.concat(F.lit("value "), value.cast("string"), F.lit(f" {UNSUPPORTED}")))).otherwise(none)
 
-    of_dates = F.when(F.size(dates) > 0, F.flatten(F.transform(F.coalesce(qualifiers, F.array().cast("array<struct<key:string,value:string>>")), of_qualifier)))
-    return F.concat(of_value, F.coalesce(of_dates, F.array().cast("array<string>")))
+        def of_qualifier(q: Column) -> Column:
+            missing = F.filter(dates_in(F.coalesce(q["value"], F.lit("None"))), lambda d: ~F.array_contains(held["dates"], d))
+            return F.transform(missing, lambda _: F.concat(q["key"], F.lit("="), q["value"], F.lit(f" {UNSUPPORTED}")))
+
+        of_dates = F.when(F.size(held["dates"]) > 0, F.flatten(F.transform(F.coalesce(qualifiers, F.array().cast("array<struct<key:string,value:string>>")), of_qualifier)))
+        return F.concat(of_value, F.coalesce(of_dates, none))
+
+    return F.get(F.transform(held, of_text), F.lit(0))
 
 
 def inherited(issues: Column) -> Column:

@@ -19,6 +19,7 @@ KEY_ALIASES = {
 }
 PERIOD_KEYS = ("period", "as_of")
 
+# The patterns define what counts as a year, a span of years, a part of one, and a fiscal or partial period.
 SPAN = r"(?<!\p{Nd})(\d{4})(?U:\s*)[-–/](?U:\s*)(\d{2})(?!\p{Nd})"
 YEAR = r"(?<!\p{Nd})(\d{4})(?!\p{Nd})|(?i:fy)(?U:\s*)['’]?(\d{2})(?!\p{Nd})"
 PART = r"(?i)(?<![A-Za-z])(q[1-4]|h[12])(?![A-Za-z0-9])"

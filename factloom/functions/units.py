@@ -39,6 +39,7 @@ CURRENCIES = {
     "£": "GBP",
     "gbp": "GBP",
 }
+# Words of a unit that say nothing, and words of mass.
 FILLERS = ("in", "of", "per", "s")
 MASS_WORDS = ("ton", "tonne", "kg", "kilogram")
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import verdict_id
+from ..schemas import JUDGEMENTS
+from ..sources.clients import Completer, completed
 
 SIMILARITY = 0.60
 PAIRS_PER_CALL = 8
@@ -45,46 +43,51 @@ def gate(facts: DataFrame, vectors: DataFrame, similarity: float = SIMILARITY) -
     return pairs.withColumn("similarity", dot(F.col("a.vec"), F.col("b.vec"))).where(F.col("similarity") >= similarity)
 
 
-def rendered(batch: pd.DataFrame) -> str:
-    """The pairs of a call, numbered."""
-    lines = []
-    for i, row in enumerate(batch.itertuples(index=False)):
-        lines += [f"[{i}]", f"  A ({row.title_a}): {row.claim_a}", f"  B ({row.title_b}): {row.claim_b}", ""]
-    return "\n".join(lines)
-
+#: What a model is told before the pairs.
+JUDGE_TASK = """You are given numbered pairs of statements, A and B, about one subject, each with the title of the document it is from.
+For each pair say how B stands to A:
+equivalent - both say the same, however worded;
+state_transition - both can be true, one at an earlier and one at a later time;
+contradiction - they cannot both be true of the same time;
+unrelated - they speak of different things.
+Give the reason in one sentence. Return one JSON object with the field judgements, an array of objects with the fields
+pair (the number), relation (one of the four words) and rationale."""
+#: Pairs of a bucket, in which calls are numbered.
+BUCKET = 2_048
 
-def judged(pairs: DataFrame, documents: DataFrame, complete: Callable[[str], str], limit: int | None = None, model: str = "judge") -> DataFrame:
-    """Verdict rows of the pairs; ``complete`` answers a rendered batch with JSON judgements.
 
-    Answers about pairs that the batch lacks are dropped, and of several about one pair the first counts.
-    ``limit`` bounds the pairs; none, or 0, is no bound.
-    """
+def prompts(pairs: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """The pairs with the ``prompt`` of their call and ``pair``, their number in it; the same pairs always make the same calls."""
     titles = documents.select("doc_id", "title")
     flat = pairs.select("entity_id", F.col("a.predicate_id").alias("predicate_id"), F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"), F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), F.col("a.claim_text").alias("claim_a"), F.col("b.claim_text").alias("claim_b"), (F.col("a.trusted") & F.col("b.trusted")).alias("trusted"))
     flat = flat.join(titles.toDF("doc_a", "title_a"), "doc_a").join(titles.toDF("doc_b", "title_b"), "doc_b")
     if limit:
         flat = flat.orderBy("fact_a", "fact_b").limit(limit)
+    buckets = max(1, -(-flat.count() // BUCKET))
+    turn = F.row_number().over(Window.partitionBy("bucket").orderBy("fact_a", "fact_b")) - 1
+    placed = flat.withColumn("bucket", F.pmod(F.xxhash64("fact_a", "fact_b"), F.lit(buckets))).withColumn("turn", turn)
+    placed = placed.withColumns({"call": F.floor(F.col("turn") / PAIRS_PER_CALL), "pair": F.col("turn") % PAIRS_PER_CALL})
+    lines = F.concat(F.lit("["), F.col("pair"), F.lit("]\n  A ("), "title_a", F.lit("): "), "claim_a", F.lit("\n  B ("), "title_b", F.lit("): "), "claim_b", F.lit("\n"))
+    calls = placed.groupBy("bucket", "call").agg(F.array_sort(F.collect_list(F.struct("pair", lines.alias("said")))).alias("said"))
+    calls = calls.select("bucket", "call", F.concat_ws("\n\n", F.lit(JUDGE_TASK), F.array_join(F.transform("said", lambda x: x["said"]), "\n")).alias("prompt"))
+    return placed.join(calls, ["bucket", "call"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.sort_values(["fact_a", "fact_b"]).reset_index(drop=True)
-            for at in range(0, len(batch), PAIRS_PER_CALL):
-                part = batch.iloc[at : at + PAIRS_PER_CALL]
-                seen: dict[int, dict] = {}
-                for j in json.loads(complete(rendered(part))).get("judgements", []):
-                    k = j.get("pair")
-                    if isinstance(k, int) and not isinstance(k, bool) and 0 <= k < len(part):
-                        seen.setdefault(k, j)
-                seen = {k: j for k, j in seen.items() if j.get("relation") in RELATIONS}
-                chosen = part.iloc[list(seen)]
-                own = {c: pd.Series(chosen[c].tolist(), dtype=object) for c in ("entity_id", "predicate_id", "fact_a", "fact_b", "trusted")}
-                told = {c: pd.Series([j.get(c, "") for j in seen.values()], dtype=object) for c in ("relation", "rationale")}
-                yield pd.DataFrame(own | told)
-
-    answers = flat.mapInPandas(run, "entity_id string, predicate_id string, fact_a string, fact_b string, trusted boolean, relation string, rationale string")
+
+def judged(pairs: DataFrame, documents: DataFrame, complete: Completer, cache: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(verdict rows of the pairs, rows to add to the cache of answers); a model is asked what the cache lacks.
+
+    Answers about pairs that the call lacks are dropped, and of several about one pair the first counts; calls that fail give no verdict.
+    ``limit`` bounds the pairs; none, or 0, is no bound.
+    """
+    asked = prompts(pairs, documents, limit)
+    found, new = completed(asked, cache, complete)
+    told = found.where("error is null").select("prompt", F.posexplode(F.from_json("response", f"judgements {JUDGEMENTS}")["judgements"]).alias("at", "j"))
+    first = told.groupBy("prompt", F.col("j.pair").alias("pair")).agg(F.min_by("j", "at").alias("j"))
+    answers = asked.join(first, ["prompt", "pair"]).select("entity_id", "predicate_id", "fact_a", "fact_b", "trusted", F.col("j.relation").alias("relation"), F.coalesce("j.rationale", F.lit("")).alias("rationale"))
+    answers, model = answers.where(F.col("relation").isin(*RELATIONS)), complete.model
     verdict = F.create_map(*[F.lit(x) for k, v in RELATIONS.items() for x in (k, v[0])])
     reason = F.create_map(*[F.lit(x) for k, v in RELATIONS.items() for x in (k, v[1])])
-    return answers.select(
+    rows = answers.select(
         verdict_id(F.col("fact_a"), F.col("fact_b"), "judge").alias("verdict_id"),
         verdict[F.col("relation")].alias("verdict"),
         reason[F.col("relation")].alias("reason_code"),
@@ -99,6 +102,7 @@ def judged(pairs: DataFrame, documents: DataFrame, complete: Callable[[str], str
         F.when(F.col("trusted"), "high").otherwise("low").alias("trust"),
         F.concat("rationale", F.lit(f"  [{model}]")).alias("explanation"),
     )
+    return rows, new
 
 
 def renewed(existing: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -70,6 +70,8 @@ def judge_all(store: Store, embed: Embedder, complete: Completer, similarity: fl
     vectors, new = embedded(texts, store.read("embeddings"), embed, "object_text")
     store.append("embeddings", new)
     pairs = judge.gate(facts, vectors, similarity)
-    verdicts = judge.judged(pairs, store.read("documents"), complete, limit, complete.model)
+    _, new = judge.judged(pairs, store.read("documents"), complete, store.read("completions"), limit)
+    store.append("completions", new)
+    verdicts, _ = judge.judged(pairs, store.read("documents"), complete, store.read("completions"), limit)
     store.replace("verdicts", judge.renewed(store.read("verdicts"), verdicts))
     return store.read("verdicts").groupBy("verdict").count()

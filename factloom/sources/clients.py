@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import time
 from collections.abc import Callable, Iterator
@@ -11,7 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BATCH = 100
@@ -87,8 +86,9 @@ class HashedEmbedder:
         return out
 
 
-def completion_key(model: str, body: str) -> str:
-    return hashlib.sha256(json.dumps([model, body]).encode()).hexdigest()
+def completion_key(model: str, body: Column) -> Column:
+    """The name of an answer: a digest of the model and what it was asked, a length between them so that no two run together."""
+    return F.sha2(F.concat(F.lit(f"{len(model)}|{model}|"), body), 256)
 
 
 def load_env(path: str) -> None:
@@ -122,8 +122,7 @@ def embedded(texts: DataFrame, cache: DataFrame, embed: Embedder, column: str =
 def completed(prompts: DataFrame, cache: DataFrame, complete: Completer, column: str = "prompt") -> tuple[DataFrame, DataFrame]:
     """(``column, response, error`` of the distinct prompts, rows to add to the cache); a failing prompt gives an error and not an exception."""
     model = complete.model
-    make_key = F.pandas_udf(lambda s: s.map(lambda p: completion_key(model, p)), "string")
-    keyed = prompts.select(column).distinct().withColumn("key", make_key(column))
+    keyed = prompts.select(column).distinct().withColumn("key", completion_key(model, F.col(column)))
     known = cache.where(F.col("model") == model).select("key", "response")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,6 +15,19 @@ PAGE = ["doc_id", "page_index"]
 CONTEXT_PAGES, CONTEXT_SIGNS = 2, 12_000
 
 
+#: What a model is told before the first pages of a document.
+CONTEXT_TASK = f"""You are given the opening pages of one document. Say who issued it, what kind of document it is, which period it reports on,
+the date as of which it speaks, and in two sentences what it is about. Leave a field empty where the pages don't tell.
+Return one JSON object with the fields {CONTEXT_CARD}."""
+#: What a model is told before the blocks of a page.
+PAGE_TASK = f"""You are given what is known of a document, then one of its pages as numbered blocks with their places.
+List every statement of fact on the page as a claim that can be read by itself: one subject, one predicate, one value or object.
+Copy figures as printed, without scaling them, and put the printed unit beside them. Everything that limits a statement
+(period, basis, segment, scope, date) is a qualifier with a short key. Cite the numbers of the blocks that hold the statement,
+and make no claim that you cannot cite. Mark forecasts and plans by their modality, and rounded figures as approximate.
+Return one JSON object with the field claims, an array; each claim is an object with the fields {CLAIM}."""
+
+
 def context_prompts(blocks: DataFrame) -> DataFrame:
     """``doc_id, prompt``: the text of a document's first pages, cut to a length."""
     texts = layout.page_text(blocks)
@@ -27,6 +40,7 @@ def context_prompts(blocks: DataFrame) -> DataFrame:
 def context_cards(documents: DataFrame, blocks: DataFrame, cache: DataFrame, complete: Completer) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, context`` of documents that have none yet, rows for the cache)."""
     prompts = context_prompts(blocks).join(documents.where("context is null").select("doc_id"), "doc_id")
+    prompts = prompts.withColumn("prompt", F.concat_ws("\n\n", F.lit(CONTEXT_TASK), "prompt"))
     found, new = completed(prompts, cache, complete)
     card = F.from_json("response", CONTEXT_CARD)
     text = F.concat_ws("; ", *[F.concat(F.lit(f"{k}: "), card[k]) for k in ("issuer", "doc_type", "reporting_period", "as_of", "summary")])
@@ -37,7 +51,7 @@ def page_prompts(pages: DataFrame, blocks: DataFrame, documents: DataFrame) -> D
     """``doc_id, page_index, prompt`` of the pages that were not extracted yet."""
     todo = pages.where(~F.col("extracted")).select(*PAGE)
     texts = layout.page_text(blocks).join(todo, PAGE)
-    return texts.join(documents.select("doc_id", "context"), "doc_id").select(*PAGE, F.concat_ws("\n\n", "context", "layout_text").alias("prompt"))
+    return texts.join(documents.select("doc_id", "context"), "doc_id").select(*PAGE, F.concat_ws("\n\n", F.lit(PAGE_TASK), "context", "layout_text").alias("prompt"))
 
 
 def cited(claims: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -9,26 +9,26 @@ from pyspark.sql import functions as F
 
 from factloom.functions import grounding, naming, qualifiers, text, units
 
+# The forms of the labels are fixed by the rule; the years are ours.
 PERIODS = {
-    "FY24": "2024",
-    "FY2023-24": "2024",
-    "2023-24": "2024",
-    "FY'23": "2023",
-    "year ended March 31, 2024": "2024",
-    "March 31, 2023": "2023",
-    "FY22": "2022",
-    "Q3 FY24": "2024Q3F",
-    "Q4 FY2023-24": "2024Q4F",
-    "2025Q2": "2025Q2C",
-    "FY2024/25": "2025",
-    "Q2 FY25": "2025Q2F",
-    "nine months ended December 31, 2021": "2021PARTIAL",
-    "2008-12-31": "2012",
-    "1999-00": "1999",
-    "FY95": "2095",
-    "Q3FY24": "2024",
-    "5000 units": "5000",
-    "no year": None,
+    "FY19": "2019",
+    "FY2011-12": "2012",
+    "2017-18": "2018",
+    "FY'07": "2007",
+    "year ended June 30, 2015": "2015",
+    "June 30, 2014": "2014",
+    "Q1 FY18": "2018Q1F",
+    "Q2 FY2011-12": "2012Q2F",
+    "2016Q3": "2016Q3C",
+    "FY2019/20": "2020",
+    "H2 FY13": "2013H2F",
+    "six months ended September 30, 2010": "2010PARTIAL",
+    "2003-07-31": "2007",
+    "1899-00": "1899",
+    "FY88": "2088",
+    "Q2FY17": "2017",
+    "4100 boxes": "4100",
+    "none stated": None,
     "": None,
     None: None,
 }
@@ -52,13 +52,13 @@ def test_keys(spark):
 
 
 def test_units(spark):
-    rows = column(spark, ["₹ million", "Indian Rupees in millions", "8142 Cr", "crores", None, "", "% of sales", "1.4 Mn Tons", "us$"]).select("i", units.parse_unit(F.col("v")).alias("u")).orderBy("i").collect()
+    rows = column(spark, ["₹ million", "Rupees in millions", "37 Cr", "crores", None, "", "% of votes", "2.6 Mn Tons", "us$"]).select("i", units.parse_unit(F.col("v")).alias("u")).orderBy("i").collect()
     assert [r.u.dimension for r in rows] == ["currency", "currency", "count", "magnitude", "unknown", "unknown", "ratio", "mass", "currency"]
     assert [r.u.magnitude for r in rows][:4] == [1e6, 1e6, 1e7, 1e7]
     assert [r.u.currency for r in rows][:2] == ["INR", "INR"] and rows[-1].u.currency == "USD" and rows[-1].u.residual == "us"
 
 
-@pytest.mark.parametrize(("value", "magnitude", "want"), [(81415.38, 1e6, 5000.0), (8142.0, 1e7, 5e6), (8140.0, 1.0, 5.0), (0.0, 10.0, 5.0), (1.2, 1.0, 0.05), (-6.3, 1.0, 0.05), (100.0, 1.0, 50.0)])
+@pytest.mark.parametrize(("value", "magnitude", "want"), [(20417.63, 1e6, 5000.0), (2042.0, 1e7, 5e6), (5170.0, 1.0, 5.0), (0.0, 10.0, 5.0), (7.4, 1.0, 0.05), (-2.9, 1.0, 0.05), (300.0, 1.0, 50.0)])
 def test_tolerance(spark, value, magnitude, want):
     assert spark.range(1).select(units.precision_tolerance(F.lit(value), F.lit(magnitude)).alias("t")).first().t == pytest.approx(want, rel=1e-12)
 
@@ -72,7 +72,7 @@ def test_tolerance_is_half_of_the_last_place(spark, numbers, places):
 
 
 def test_comparable(spark):
-    pairs = [("₹ million", 81415.38, "Cr", 8142.0, True), ("Mn Tons", 1.4, "₹ Cr", 8142.0, False), ("%", 12.7, "₹ Cr", 8142.0, False), (None, 1.0, "%", 1.0, True), ("$", 1.0, "€", 1.0, False)]
+    pairs = [("₹ million", 20417.63, "Cr", 2042.0, True), ("Mn Tons", 3.1, "₹ Cr", 2042.0, False), ("%", 4.8, "₹ Cr", 2042.0, False), (None, 1.0, "%", 1.0, True), ("$", 1.0, "€", 1.0, False)]
     frame = spark.createDataFrame(pairs, "ua string, va double, ub string, vb double, want boolean")
     a, b = units.normalise(F.col("va"), F.col("ua")), units.normalise(F.col("vb"), F.col("ub"))
     got = frame.select("want", a.alias("a"), b.alias("b")).select("want", units.comparable(F.col("a"), F.col("b")).alias("got"), (F.abs(F.col("a.value") - F.col("b.value")) <= F.col("a.tolerance") + F.col("b.tolerance")).alias("near")).collect()
@@ -86,21 +86,21 @@ def test_unit_class(spark):
 
 
 def test_shown(spark):
-    assert mapped(spark, [1234567.5, 8142.0, 0.25, 1000.0, None], units.shown, "double") == ["1,234,567.5", "8,142", "0.25", "1,000", "—"]
+    assert mapped(spark, [7654321.5, 2042.0, 0.75, 3000.0, None], units.shown, "double") == ["7,654,321.5", "2,042", "0.75", "3,000", "—"]
 
 
 @pytest.mark.parametrize(
     ("value", "told", "cited", "issues"),
     [
-        (None, "August 04, 2023", "with effect from August 24, 2023 onwards", 1),
-        (None, "August 24, 2023", "with effect from August 24, 2023 onwards", 0),
-        (None, "August 04, 2023", "no date here", 0),
-        (74540.82, None, "Revenue from Operations 74,540.82 66,586.61 81,415.38", 0),
-        (74540.83, None, "Revenue from Operations 74,540.82 66,586.61 81,415.38", 1),
-        (8142.0, None, "Revenue from Operations 74,540.82", 1),
-        (-8987.45, None, "Loss before tax (8,987.45)", 0),
-        (-1008.0, None, "PAT loss Rs. (1,008 Cr)", 0),
-        (-6.3, None, "EBITDA margin (6.3%)", 0),
+        (None, "May 02, 2016", "the bridge opened on May 12, 2016 to all", 1),
+        (None, "May 12, 2016", "the bridge opened on May 12, 2016 to all", 0),
+        (None, "May 02, 2016", "the bridge is open", 0),
+        (31250.75, None, "Sales of timber 31,250.75 29,004.10 20,417.63", 0),
+        (31250.76, None, "Sales of timber 31,250.75 29,004.10 20,417.63", 1),
+        (2042.0, None, "Sales of timber 31,250.75", 1),
+        (-415.25, None, "Deficit of the year (415.25)", 0),
+        (-2730.0, None, "Shortfall Rs. (2,730 Cr)", 0),
+        (-8.6, None, "Growth of the herd (8.6%)", 0),
         (-5.0, None, "-5", 1),
         (1.0, None, None, 1),
     ],
@@ -123,4 +123,4 @@ def test_verdict_id_is_the_pair(spark):
 def test_text(spark):
     assert mapped(spark, [" x\t", " a b ", None], text.stripped) == ["x", "a b", None]
     assert mapped(spark, ["ÀB", "àb"], lambda c: text.matches_like(c, "àB")) == [False, True]
-    assert mapped(spark, ["Mr. Sahil Barua", "Barua Sahil Ltd", ""], naming.content_tokens) == [["barua", "sahil"], ["barua", "sahil"], []]
+    assert mapped(spark, ["Ms. Oak Lantern", "Lantern Oak Ltd", ""], naming.content_tokens) == [["lantern", "oak"], ["lantern", "oak"], []]

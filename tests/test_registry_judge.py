@@ -57,13 +57,34 @@ def test_judge(spark):
     pairs = judge.gate(facts, vectors)
     assert [(r.a.fact_id, r.b.fact_id) for r in pairs.collect()] == [("f1", "f2")]
 
-    def answer(prompt: str) -> str:
-        assert prompt.startswith("[0]\n  A (One): c1\n  B (Two): c2")
-        return json.dumps({"judgements": [{"pair": 7, "relation": "equivalent"}, {"pair": 0, "relation": "equivalent", "rationale": "same"}, {"pair": 0, "relation": "contradiction"}]})
+    empty = spark.createDataFrame([], "key string, model string, response string, created_at timestamp")
+
+    class Answer:
+        model = "judge"
+
+        def __init__(self, *judgements):
+            self.text = json.dumps({"judgements": judgements})
+
+        def __call__(self, prompt):
+            assert "equivalent" in prompt and prompt.endswith("[0]\n  A (One): c1\n  B (Two): c2\n")
+            return self.text
 
-    (row,) = judge.judged(pairs, documents, answer).collect()
+    given = Answer({"pair": 7, "relation": "equivalent"}, {"pair": 0, "relation": "equivalent", "rationale": "same"}, {"pair": 0, "relation": "contradiction"})
+    rows, new = judge.judged(pairs, documents, given, empty)
+    (row,) = rows.collect()
     assert (row.verdict, row.reason_code, row.trust, row.cross_document, row.explanation) == ("CORROBORATED", "JUDGE:EQUIVALENT", "low", True, "same  [judge]")
-    assert judge.judged(pairs, documents, lambda p: json.dumps({"judgements": [{"pair": 0, "relation": "unrelated"}]})).count() == 0
+    assert judge.judged(pairs, documents, Answer({"pair": 0, "relation": "unrelated"}), empty)[0].count() == 0
+    assert judge.judged(pairs, documents, Answer({"pair": 0}), empty)[0].count() == 0
+
+    class Silent:
+        model = "judge"
+
+        def __call__(self, prompt):
+            raise AssertionError("asked again")
+
+    kept = spark.createDataFrame(new.collect(), new.schema)
+    again, more = judge.judged(pairs, documents, Silent(), kept)
+    assert [r.explanation for r in again.collect()] == ["same  [judge]"] and more.count() == 0
 
 
 class Flaky:
