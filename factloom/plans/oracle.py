@@ -38,8 +38,12 @@ def bands(edges: str) -> str:
 BAND_OF = "len(list_filter({b}, lambda b: {x} >= b - 0.01::DOUBLE)) - 1"
 
 LIBRARY = """pages AS (
-  SELECT source AS doc_id, CAST(doc_id AS INTEGER) AS page_index, sha256(text) AS page_hash, doc_id % 2 = 0 AS extracted, text, string_split(text, chr(10)) AS rows FROM documents WHERE source IS NOT NULL
-), library AS (SELECT source AS doc_id, min(doc_id) AS added_at, upper(source) AS title FROM documents WHERE source IS NOT NULL GROUP BY source)"""
+  SELECT coalesce(source, '(none)') AS doc_id, CAST(doc_id AS INTEGER) AS page_index, sha256(text) AS page_hash, doc_id % 2 = 0 AS extracted, text, string_split(text, chr(10)) AS rows FROM documents
+), library AS (SELECT coalesce(source, '(none)') AS doc_id, min(doc_id) AS added_at, upper(coalesce(source, '(none)')) AS title FROM documents GROUP BY ALL)"""
+GATE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL),
+      u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+      gate AS (SELECT CAST(a.label AS VARCHAR) AS entity_id, a.vec_id AS a, b.vec_id AS b, 'v' || lpad(CAST(a.vec_id AS VARCHAR), 8, '0') AS fact_a, 'v' || lpad(CAST(b.vec_id AS VARCHAR), 8, '0') AS fact_b
+      FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 5 <> b.vec_id % 5 WHERE list_dot_product(a.e, b.e) >= 0.3)"""
 
 NOTICES = """notices AS (
   SELECT o_orderkey, o_totalprice,
@@ -175,8 +179,19 @@ ORACLES: dict[str, str] = {
     "name_tokens": r"""WITH t AS (SELECT c_custkey, lower(c_name || ' ' || c_mktsegment) AS n, c_name FROM customer)
       SELECT c_custkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(n, '[a-z0-9]+'), lambda w: NOT list_contains(['a', 'm', 's', 'of', 'the', 'and', 'an', 'for', 'from', 'to', 'in', 'at', 'by'], w)))), ' ') AS tokens,
         array_to_string(list_sort(list_distinct(regexp_extract_all(c_name, '\d+'))), ' ') AS digits FROM t""",
-    "judge_gate": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL),
-      u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)
-      SELECT CAST(a.label AS VARCHAR) AS entity_id, 'v' || lpad(CAST(a.vec_id AS VARCHAR), 8, '0') AS fact_a, 'v' || lpad(CAST(b.vec_id AS VARCHAR), 8, '0') AS fact_b
-      FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 5 <> b.vec_id % 5 WHERE list_dot_product(a.e, b.e) >= 0.3""",
+    "judge_gate": f"WITH {GATE} SELECT entity_id, fact_a, fact_b FROM gate",
+    "judge_verdicts": f"""WITH {GATE} SELECT entity_id, fact_a, fact_b, CASE b % 4 WHEN 0 THEN 'CORROBORATED' WHEN 1 THEN 'VARIANT_EXPLAINED_BY' ELSE 'CONTRADICTION' END AS verdict,
+        CASE b % 4 WHEN 0 THEN 'JUDGE:EQUIVALENT' WHEN 1 THEN 'JUDGE:STATE_TRANSITION' ELSE 'JUDGE:CONTRADICTION' END AS reason_code, 'high' AS trust, 'rule ' || (b % 4) || '  [rule]' AS explanation FROM gate WHERE b % 4 < 3""",
+    "documents_added": "SELECT DISTINCT coalesce(source, '(none)') AS doc_id FROM documents WHERE coalesce(source, '') NOT LIKE '%1'",
+    "pages_upserted": "SELECT coalesce(source, '(none)') AS doc_id, CAST(doc_id AS INTEGER) AS page_index, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS route FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "page_lookup": f"""WITH {LIBRARY}, f AS (SELECT * FROM pages WHERE doc_id = 'src1' AND page_index = (SELECT min(page_index) FROM pages WHERE doc_id = 'src1'))
+      SELECT doc_id, page_index, page_hash, CAST(i AS INTEGER) AS ord, rows[i + 1] AS text FROM f, unnest(range(len(rows))) AS t(i)""",
+    "pages_marked": "SELECT coalesce(source, '(none)') AS doc_id, CAST(doc_id AS INTEGER) AS page_index, doc_id % 2 = 0 OR doc_id % 4 = 0 AS extracted FROM documents",
+    "job_detail": "SELECT 'job' || event_id AS job_id, event_type AS status FROM events WHERE event_id = (SELECT min(event_id) FROM events)",
+    "cache_rows": "SELECT sha256('hashed-64|64|' || p_type) AS key, 'hashed-64' AS model, 64 AS dims, 64 AS width FROM (SELECT DISTINCT p_type FROM part WHERE p_type NOT LIKE 'S%')",
+    "answer_keys": "SELECT doc_id, sha256('2|m1|' || coalesce(text, '')) AS key FROM documents",
+    "registry_rows": """WITH a AS (SELECT p_size, p_type, count(*) AS n, min(p_partkey) AS rank FROM part GROUP BY ALL)
+      SELECT 'predicate' AS kind, 'pre_' || p_size AS id, 'size ' || p_size AS canonical, string_agg(p_type, ';' ORDER BY rank, p_type) AS forms, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY p_size""",
+    "facts_backfilled": "SELECT p_partkey, p_brand AS subject, CASE WHEN p_brand NOT LIKE '%3' THEN lower(p_brand) END AS entity_id FROM part",
+    "diff_json": """SELECT n_nationkey, '{"' || lower(n_name) || '":["' || n_regionkey || '",null]}' AS diff FROM nation""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import grounding, naming, qualifiers, units
 from ..operators import cells, evidence, judge, layout, reconcile, registry
 from ..sources import extraction, store
-from ..sources.clients import HashedEmbedder
+from ..sources.clients import HashedEmbedder, completion_key, embedded
 from . import views
 from .facts import documents as report_documents
 from .facts import facts as report_facts
@@ -127,8 +129,9 @@ def grounding_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.pmod("o_orderkey", F.lit(5))
     value = F.when(F.pmod("o_orderkey", F.lit(4)) == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
     told = F.array(F.struct(F.lit("effective").alias("key"), F.when(k == 0, "March 31, 2001").otherwise(F.col("date")).alias("value")), F.struct(F.lit("basis").alias("key"), F.lit("net").alias("value")))
-    issues = grounding.grounding_issues(value, told, F.col("cited"))
-    return _notices(spark, sf_dir).select("o_orderkey", F.size(issues).cast("long").alias("n_issues"), F.exists(issues, lambda x: x.startswith("value ")).alias("value_issue"), F.array_max(F.filter(issues, lambda x: ~x.startswith("value "))).alias("date_issue"), grounding.inherited(issues).alias("inherited"))
+    found = _notices(spark, sf_dir).select("o_orderkey", grounding.grounding_issues(value, told, F.col("cited")).alias("issues"))
+    issues = F.col("issues")
+    return found.select("o_orderkey", F.size(issues).cast("long").alias("n_issues"), F.exists(issues, lambda x: x.startswith("value ")).alias("value_issue"), F.array_max(F.filter(issues, lambda x: ~x.startswith("value "))).alias("date_issue"), grounding.inherited(issues).alias("inherited"))
 
 
 # Reconciliation
@@ -262,7 +265,7 @@ def fact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The driver's documents as pages of their sources: ``documents``, ``pages`` and ``blocks``."""
-    docs = table(spark, sf_dir, "documents").where("source is not null")
+    docs = table(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("(none)")))
     pages = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page_index"), F.array(F.col("doc_id").cast("string")).alias("labels"), F.sha2("text", 256).alias("page_hash"), F.lit("text").alias("route"), (F.col("doc_id") % 2 == 0).alias("extracted"), F.col("text"))
     documents = docs.groupBy(F.col("source").alias("doc_id")).agg(F.min("doc_id").alias("added_at")).withColumn("title", F.upper("doc_id"))
     blocks = pages.select("doc_id", "page_index", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
@@ -325,6 +328,61 @@ def cited_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.cited(claims, blocks).select("doc_id", "claim", joined(F.col("block_ids").cast("array<string>")).alias("block_ids"), "cited_text")
 
 
+@query
+def documents_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources that are new when those that end in 1 are known; each comes with every document of it."""
+    documents, pages, _ = _library(spark, sf_dir)
+    return store.new_documents(documents.where("doc_id like '%1'"), pages.select("doc_id")).select("doc_id")
+
+
+@query
+def pages_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third page is there, and every second one comes in."""
+    _, pages, _ = _library(spark, sf_dir)
+    there, new = (pages.where(f"page_index % {n} = 0").select("doc_id", "page_index", F.lit(route).alias("route")) for n, route in ((3, "old"), (2, "new")))
+    return store.upserted(there, new, ["doc_id", "page_index"])
+
+
+@query
+def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of a source with its blocks."""
+    _, pages, blocks = _library(spark, sf_dir)
+    first = pages.where("doc_id = 'src1'").agg(F.min("page_index")).first()[0] or 0
+    row = store.page_row(pages, "src1", first).select("doc_id", "page_index", "page_hash")
+    return row.join(store.page_blocks(blocks, "src1", first), ["doc_id", "page_index"]).select("doc_id", "page_index", "page_hash", "ord", "text")
+
+
+@query
+def pages_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pages a fourth is read, and a fourth fails."""
+    _, pages, _ = _library(spark, sf_dir)
+    answers = pages.where("page_index % 4 < 2").select("doc_id", "page_index", F.expr("if(page_index % 4 = 1, 'failed', null)").alias("error"))
+    return extraction.marked(pages, answers).select("doc_id", "page_index", "extracted")
+
+
+@query
+def job_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job of the first event."""
+    jobs = table(spark, sf_dir, "events").select(F.concat(F.lit("job"), F.col("event_id")).alias("job_id"), F.col("event_type").alias("status"), F.col("ts").alias("started_at"))
+    first = table(spark, sf_dir, "events").agg(F.min("event_id")).first()[0]
+    return views.job(jobs, f"job{first}").select("job_id", "status")
+
+
+@query
+def cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the embedding cache gains from the part types when those that begin with S are known."""
+    forms = table(spark, sf_dir, "part").select(F.col("p_type").alias("form"))
+    empty = spark.createDataFrame([], "key string, model string, dims int, vec array<float>")
+    _, known = embedded(forms.where("form like 'S%'"), empty, HashedEmbedder())
+    return embedded(forms, known, HashedEmbedder())[1].select("key", "model", "dims", F.size("vec").alias("width"))
+
+
+@query
+def answer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names under which answers about the documents are kept."""
+    return table(spark, sf_dir, "documents").select("doc_id", completion_key("m1", F.coalesce("text", F.lit(""))).alias("key"))
+
+
 # Layout
 
 
@@ -403,12 +461,59 @@ def registry_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def judge_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry of the parts' types, clustered by size."""
+    assigned = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("pre_"), "p_size").alias("id"), F.concat(F.lit("size "), "p_size").alias("canonical"), F.col("p_type").alias("form")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("rank"), F.array().cast("array<float>").alias("centroid"))
+    return registry.registry(assigned, "predicate").select("kind", "id", "canonical", joined(F.col("surface_forms")).alias("forms"), "n")
+
+
+@query
+def facts_backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as facts about their brands; the registry lacks the brands that end in 3."""
+    facts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("subject"), F.lit(None).cast("string").alias("entity_id"))
+    assigned = facts.where("subject not like '%3'").select(F.col("subject").alias("form"), F.lower("subject").alias("id")).distinct()
+    return registry.backfilled(facts, assigned, "subject", "entity_id").select("p_partkey", "subject", "entity_id")
+
+
+@query
+def diff_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A qualifier difference of each nation as JSON, one value missing."""
+    diff = F.create_map(F.lower("n_name"), F.array(F.col("n_regionkey").cast("string"), F.lit(None).cast("string")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", reconcile.diff_text(diff).alias("diff"))
+
+
+class RuleJudge:
+    """A stand-in for a model: the relation follows from the number of the second statement."""
+
+    model = "rule"
+
+    def __call__(self, prompt: str) -> str:
+        names = ["equivalent", "state_transition", "contradiction", "unrelated"]
+        pairs = re.findall(r"\[(\d+)\]\n  A \([^)]*\): \S+\n  B \([^)]*\): v(\d+)", prompt)
+        return json.dumps({"judgements": [{"pair": int(i), "relation": names[int(b) % 4], "rationale": f"rule {int(b) % 4}"} for i, b in pairs]})
+
+
+def _entity_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vectors as entity-valued facts; their labels are the entities, and five documents hold them."""
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
     name = F.format_string("v%08d", "vec_id")
     facts = rows.select(name.alias("fact_id"), F.pmod("vec_id", F.lit(5)).cast("string").alias("doc_id"), F.col("label").cast("string").alias("entity_id"), F.lit("p").alias("predicate_id"), name.alias("object_text"), name.alias("claim_text"), F.lit(None).cast("double").alias("value"), F.array().cast("array<string>").alias("grounding_issues"))
-    vectors = rows.select(name.alias("object_text"), F.col("embedding").alias("vec"))
+    return facts, rows.select(name.alias("object_text"), F.col("embedding").alias("vec"))
+
+
+@query
+def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that pass the gate, judged by rule."""
+    facts, vectors = _entity_facts(spark, sf_dir)
+    documents = spark.createDataFrame([(str(i), f"T{i}") for i in range(5)], "doc_id string, title string")
+    empty = spark.createDataFrame([], "key string, model string, response string, created_at timestamp")
+    rows, _ = judge.judged(judge.gate(facts, vectors, 0.3), documents, RuleJudge(), empty)
+    return rows.select("entity_id", "fact_a", "fact_b", "verdict", "reason_code", "trust", "explanation")
+
+
+@query
+def judge_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, vectors = _entity_facts(spark, sf_dir)
     return judge.gate(facts, vectors, 0.3).select("entity_id", F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"))
 
 

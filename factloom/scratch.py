@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once and read from Parquet under ``spark.checkpoint.dir``; only where that is unset, in a temporary folder."""
+    """``df``, computed once and read from Parquet under ``spark.checkpoint.dir``; where that is unset, and in local mode alone, in a temporary folder."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
