@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import jaccard, mixing, packing, quality, secrets
 from factloom.llm.common import id_filter, materialise, passing, table
-from factloom.llm.queries import tokenizer_path
+from factloom.llm.queries import MIX_TARGETS, tokenizer_path
 
 #: The part of all tokens that mixing draws, and the power that flattens the sources' shares.
 MIX_SHARE, MIX_POWER = 0.7, 0.7
@@ -54,8 +54,8 @@ def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A draw of documents whose sources, languages and topics have raked shares of tokens."""
-    return mixing.mix(docs, share=MIX_SHARE, power=MIX_POWER)
+    """A draw of documents whose languages have the target shares of tokens, sources and topics flattened ones."""
+    return mixing.mix(docs, share=MIX_SHARE, power=MIX_POWER, targets=MIX_TARGETS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

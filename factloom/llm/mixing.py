@@ -42,7 +42,7 @@ def tokens(text: str = "text") -> Column:
 
 
 def topic(text: str = "text") -> Column:
-    """A coarse topic from a whole text's form."""
+    """A coarse topic, told by a whole text's form alone (table, contact, long form); pass another column as the margin where there is a better one."""
     t = F.coalesce(F.col(text), F.lit(""))
     return (
         F.when(t.contains(" | "), "table")

@@ -48,8 +48,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Target shares of tokens by language; other languages keep their own share of the rest, sources and forms are flattened.
+MIX_TARGETS = {"lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}}
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.probabilities(table(spark, sf_dir, "documents"), share=0.7, power=0.7)
+    found = mixing.probabilities(table(spark, sf_dir, "documents"), share=0.7, power=0.7, targets=MIX_TARGETS)
     own = lambda c: F.col(f"{mixing.OWN}{c}")
     return found.select("doc_id", own("topic").alias("topic"), own("tokens").alias("n_tokens"), own("weight").alias("weight"), own("probability").alias("probability"), (mixing.draw() < own("probability")).alias("drawn"))
 

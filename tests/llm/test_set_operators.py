@@ -468,3 +468,16 @@ def test_repeats_agree_with_prefix_doubling(spark):
         want.setdefault(r.doc_id, set()).update(range(r.at, r.at + 100))
     got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs).collect()}
     assert got == {i: len(want.get(i, ())) for i, _ in rows} and sum(got.values()) > 500
+
+
+def test_query_meets_the_target_weights(spark):
+    """The calibrated weights of the registered query give each language its target share of tokens."""
+    from conftest import SMALL
+
+    from factloom.llm.queries import MIX_TARGETS, op5_source_mixing
+
+    found = op5_source_mixing(spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    found["w"] = found["weight"] * found["n_tokens"]
+    have = found.groupby(found["lang"].fillna("(null)"))["w"].sum() / found["w"].sum()
+    given = {k: v for k, v in MIX_TARGETS["lang"].items() if k in have.index}
+    assert set(given) and all(have[k] == pytest.approx(v / (sum(given.values()) if set(have.index) <= set(given) else 1), abs=1e-6) for k, v in given.items())
