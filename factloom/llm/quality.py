@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches
 
 BLOCK = 1024
+#: Rows of the common mean in each step of the calibration.
+PRIOR_ROWS = 4.0
 LEVEL = 3
 
 
@@ -79,8 +81,11 @@ def dictionary(texts: list[str], size: int) -> bytes:
         return b"".join(samples)[-size:] or b" " * 8
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The non-decreasing step function nearest to ``y``, by pooling adjacent violators: both ends of each step and its value."""
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The non-decreasing step function nearest to ``y``, by pooling adjacent violators: both ends of each step and its value.
+
+    Each step also holds ``prior`` rows of the common mean, which counts where there are few rows.
+    """
     order = np.argsort(x, kind="stable")
     at, first = np.unique(x[order], return_index=True)  # equal differences have one score
     total = np.add.reduceat(weight[order], first)
@@ -92,7 +97,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
             _, last, w1, v1 = steps.pop()
             step = steps[-1]
             step[1], step[2], step[3] = last, step[2] + w1, (step[2] * step[3] + w1 * v1) / (step[2] + w1)
-    return np.array([e for s in steps for e in s[:2]]), np.repeat([s[3] for s in steps], 2)
+    rows = np.array([s[2] for s in steps]) * len(x) / weight.sum()
+    value = (rows * [s[3] for s in steps] + prior * np.average(y, weights=weight)) / (rows + prior)
+    return np.array([e for s in steps for e in s[:2]]), np.repeat(np.maximum.accumulate(value), 2)
 
 
 def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Model:
@@ -128,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
     x, y = np.array([sized.difference(t) for _, t in fit]), np.array([known[d][0] for d, _ in fit], float)
     # Classes were sampled to a bound each; each weighs what all its labels do.
     share = [total[q] / max(1, (y == q).sum()) for q in (0, 1)]
-    at, value = isotonic(x, y, np.where(y == 1, share[1], share[0]))
+    at, value = isotonic(x, y, np.where(y == 1, share[1], share[0]), PRIOR_ROWS)
     return Model(*made, tuple(at.tolist()), tuple(value.tolist()))
 
 
