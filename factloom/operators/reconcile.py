@@ -2,11 +2,13 @@
 
 The keys that tell a cell's facts apart are aggregated before the pair join, and a
 fact carries its signature over them into it, so that the join moves small rows.
+Facts that differ in two positions have no verdict and do not meet: the join is by what
+is left of a signature without one position.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grounding, qualifiers, units
@@ -14,6 +16,10 @@ from ..functions.naming import verdict_id
 from ..scratch import written
 
 CELL = ("entity_id", "predicate_id")
+#: A cell is paired by blocks where its facts are so many times the block rows that each of them makes.
+FEW = 4
+#: Facts of one block that a task pairs with the others of it; larger blocks are dealt out.
+SHARE = 500
 
 
 def prepared(facts: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -55,23 +61,70 @@ def signed(facts: DataFrame) -> DataFrame:
     return signed_facts.withColumn("position", F.transform("keys", lambda k: F.try_element_at("sig", k)))
 
 
+def _blocks(slim: DataFrame) -> DataFrame:
+    """``slim`` with ``turn`` and the blocks ``as_a``, ``as_b`` in which a fact meets others as either side.
+
+    A missing position differs from nothing, so facts meet by the pattern of what both miss: a fact makes a row
+    for each pattern of its cell and each position that is left out (``turn``), and its block is what both sides
+    state elsewhere.  Cells of many patterns are one block, of turn -1.
+    """
+    shaped = slim.withColumn("gaps", F.transform("side.position", lambda x: x.isNull()))
+    cell = Window.partitionBy(*CELL)
+    patterns = shaped.groupBy(*CELL, "gaps").agg(F.count(F.lit(1)).alias("n")).withColumns({"n_facts": F.sum("n").over(cell), "n_patterns": F.count(F.lit(1)).over(cell)})
+    worth = (F.size("gaps") > 0) & (F.col("n_patterns") * F.size("gaps") * FEW <= F.col("n_facts"))
+    others = patterns.select(*CELL, F.when(worth, F.col("gaps")).alias("other")).distinct()
+    missed = lambda i: F.get("gaps", i) | F.get("other", i)
+    turns = F.filter(F.sequence(F.lit(0), F.size("gaps") - 1), lambda i: (i == 0) | ~missed(i))
+    rows = shaped.join(others, list(CELL)).withColumn("turn", F.explode(F.when(F.col("other").isNull(), F.array(F.lit(-1))).otherwise(turns)))
+    stated = F.transform("side.position", lambda x, i: F.when((i == F.col("turn")) | missed(i), None).otherwise(x))
+    block = lambda a, b: F.when(F.col("turn") < 0, F.lit(0)).otherwise(F.xxhash64("turn", a, b, stated))
+    return rows.withColumns({"as_a": block("gaps", "other"), "as_b": block("other", "gaps")})
+
+
 def paired(facts: DataFrame) -> DataFrame:
-    """Comparable pairs of valued facts of a cell as structs ``a`` and ``b``, the smaller id first."""
+    """Comparable pairs of valued facts of a cell as structs ``a`` and ``b``, the smaller id first, that differ in one position at most.
+
+    ``state`` says of each position whether the sides agree (0), one misses it (1) or they differ (2); ``conflicts`` counts the last.
+    Blocks are known by hashes, and each pair is looked at again: one that differs in a position counts where that is left out, one that does not where the first is.
+    """
     slim = facts.where("norm is not null").select(*CELL, "keys", F.struct("fact_id", "doc_id", "predicate", "norm", "position", "inherited", "trusted").alias("side"))
-    left = slim.withColumnRenamed("side", "a")
-    right = slim.select(*CELL, F.col("side").alias("b"))
-    pairs = left.join(right, list(CELL)).where(F.col("a.fact_id") < F.col("b.fact_id"))
-    return pairs.where(units.comparable(F.col("a.norm"), F.col("b.norm")))
+    rows = _blocks(slim)
+    left = rows.select(*CELL, "keys", "turn", F.col("as_a").alias("block"), F.col("side").alias("a"))
+    right = rows.select(*CELL, F.col("as_b").alias("block"), F.col("side").alias("b"))
+    meet = [*CELL, "block"]
+    shares = left.groupBy(*meet).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARE).select(*meet, F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
+    of = F.coalesce("shares", F.lit(1))
+    left = left.join(shares, meet, "left").withColumn("share", F.pmod(F.xxhash64("a.fact_id"), of).cast("int")).drop("shares")
+    right = right.join(shares, meet, "left").withColumn("share", F.explode(F.sequence(F.lit(0), of - 1))).drop("shares")
+    # A partition's work is its pairs, not its bytes: the number of partitions stays what the session says.
+    parts, meet = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*meet, "share"]
+    pairs = left.repartition(parts, *meet).join(right.repartition(parts, *meet), meet).where(F.col("a.fact_id") < F.col("b.fact_id"))
+    # Positions are aligned with the sorted keys, so a pair is compared without building maps; those are made for the rows that stay.
+    state = F.zip_with("a.position", "b.position", lambda x, y: F.when(x.isNull() | y.isNull(), 1).when(x != y, 2).otherwise(0))
+    pairs = pairs.where(units.comparable(F.col("a.norm"), F.col("b.norm"))).withColumn("state", state).withColumn("conflicts", F.size(F.filter("state", lambda x: x == 2)))
+    turn, conflicts = F.col("turn"), F.col("conflicts")
+    once = ((conflicts == 0) & (turn <= 0)) | ((conflicts == 1) & ((turn < 0) | (F.get("state", turn) == 2)))
+    return pairs.where(once).select(*CELL, "keys", "a", "b", "state", "conflicts")
 
 
 def _raw(predicate: Column) -> Column:
     return F.lower(F.regexp_replace(predicate, r"(?U)^\s+|\s+$", ""))
 
 
+#: The decisions, by the number of their rule from 1: verdict, reason (or what it begins with), explanation.
+DECISIONS = (
+    ("VARIANT_EXPLAINED_BY", "QUALIFIER_DIFF:", "values differ, and so does one qualifier"),
+    ("CORROBORATED", "AGREE_ON_SHARED_QUALIFIERS", "values agree within printed precision; not every qualifier is stated"),
+    ("INSUFFICIENT_CONTEXT", "MISSING_QUALIFIER:", "values differ, but a qualifier that matters here is not stated"),
+    ("CORROBORATED", "SAME_CELL_AGREE", "values agree within printed precision"),
+    ("INSUFFICIENT_CONTEXT", "INHERITED_QUALIFIER", "a literal of either fact is not in the text it cites"),
+    ("INSUFFICIENT_CONTEXT", "PREDICATE_UNCERTAIN", "the wordings of the predicate differ"),
+    ("CONTRADICTION", "SAME_CELL_DISAGREE", "same position, values beyond printed precision"),
+)
+
+
 def compared(pairs: DataFrame) -> DataFrame:
-    """A verdict for each pair of the decision table; pairs that it leaves out have none."""
-    # Positions are aligned with the sorted keys, so a pair is compared without building maps; those are made for the rows that stay.
-    numbers = F.zip_with("a.position", "b.position", lambda x, y: F.when(x.isNull() | y.isNull(), 1).when(x != y, 2).otherwise(0))
+    """A verdict for each pair of the decision table; pairs that it leaves out have none.  Columns that a reader leaves out cost nothing."""
     side = lambda s, i: F.get(F.col(f"{s}.position"), i)
 
     def diff(wanted: int) -> Column:
@@ -79,48 +132,37 @@ def compared(pairs: DataFrame) -> DataFrame:
         at = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: (F.get("state", i) == wanted) & (side("a", i).isNotNull() | side("b", i).isNotNull()))
         return F.map_from_arrays(F.transform(at, lambda i: F.get("keys", i)), F.transform(at, lambda i: F.array(side("a", i), side("b", i))))
 
-    base = pairs.withColumns(
-        {
-            "delta": F.abs(F.col("a.norm.value") - F.col("b.norm.value")),
-            "tolerance": F.col("a.norm.tolerance") + F.col("b.norm.tolerance"),
-            "state": numbers,
-        }
-    ).withColumns({"agree": F.col("delta") <= F.col("tolerance"), "conflicts": F.size(F.filter("state", lambda x: x == 2))})
-    # Most pairs of a busy cell have no verdict: they go before anything is built for them.
-    base = base.where((F.col("conflicts") == 0) | ((F.col("conflicts") == 1) & ~F.col("agree")))
-    n, agree = F.col("conflicts"), F.col("agree")
-    gap = F.array_contains("state", 1)
+    base = pairs.withColumns({"delta": F.abs(F.col("a.norm.value") - F.col("b.norm.value")), "tolerance": F.col("a.norm.tolerance") + F.col("b.norm.tolerance")})
+    base = base.withColumn("agree", F.col("delta") <= F.col("tolerance")).where("conflicts = 0 or not agree")
+    agree, gap = F.col("agree"), F.array_contains("state", 1)
+    ruled = base.withColumn(
+        "rule",
+        F.when(F.col("conflicts") == 1, 1)
+        .when(gap & agree, 2)
+        .when(gap, 3)
+        .when(agree, 4)
+        .when(F.col("a.inherited") | F.col("b.inherited"), 5)
+        .when(_raw(F.col("a.predicate")) != _raw(F.col("b.predicate")), 6)
+        .otherwise(7),
+    )
+    rule = F.col("rule")
     key, first_missing = (F.get("keys", (F.array_position("state", k) - 1).cast("int")) for k in (2, 1))
+    told = lambda k: F.element_at(F.array(*[F.lit(d[k]) for d in DECISIONS]), rule)
     no_diff = F.from_json(F.lit("{}"), "map<string,array<string>>")
     wording = F.create_map(F.lit("predicate"), F.array("a.predicate", "b.predicate"))
-
-    def row(verdict: str, reason: Column | str, diff: Column, said: str) -> Column:
-        reason = F.lit(reason) if isinstance(reason, str) else reason
-        return F.struct(F.lit(verdict).alias("verdict"), reason.alias("reason_code"), diff.alias("qualifier_diff"), F.lit(said).alias("explanation"))
-
-    decided = (
-        F.when(n == 1, row("VARIANT_EXPLAINED_BY", F.concat(F.lit("QUALIFIER_DIFF:"), key), diff(2), "values differ, and so does one qualifier"))
-        .when(gap & agree, row("CORROBORATED", "AGREE_ON_SHARED_QUALIFIERS", diff(1), "values agree within printed precision; not every qualifier is stated"))
-        .when(gap, row("INSUFFICIENT_CONTEXT", F.concat(F.lit("MISSING_QUALIFIER:"), first_missing), diff(1), "values differ, but a qualifier that matters here is not stated"))
-        .when(agree, row("CORROBORATED", "SAME_CELL_AGREE", no_diff, "values agree within printed precision"))
-        .when(F.col("a.inherited") | F.col("b.inherited"), row("INSUFFICIENT_CONTEXT", "INHERITED_QUALIFIER", no_diff, "a literal of either fact is not in the text it cites"))
-        .when(_raw(F.col("a.predicate")) != _raw(F.col("b.predicate")), row("INSUFFICIENT_CONTEXT", "PREDICATE_UNCERTAIN", wording, "the wordings of the predicate differ"))
-        .otherwise(row("CONTRADICTION", "SAME_CELL_DISAGREE", no_diff, "same position, values beyond printed precision"))
-    )
-    out = base.withColumn("_d", decided)
-    return out.select(
+    return ruled.select(
         verdict_id(F.col("a.fact_id"), F.col("b.fact_id")).alias("verdict_id"),
-        "_d.verdict",
-        "_d.reason_code",
+        told(0).alias("verdict"),
+        F.when(rule == 1, F.concat(told(1), key)).when(rule == 3, F.concat(told(1), first_missing)).otherwise(told(1)).alias("reason_code"),
         F.col("a.fact_id").alias("fact_a"),
         F.col("b.fact_id").alias("fact_b"),
         *CELL,
-        "_d.qualifier_diff",
+        F.when(rule == 1, diff(2)).when(rule.isin(2, 3), diff(1)).when(rule == 6, wording).otherwise(no_diff).alias("qualifier_diff"),
         "delta",
         "tolerance",
         (F.col("a.doc_id") != F.col("b.doc_id")).alias("cross_document"),
         F.when(F.col("a.trusted") & F.col("b.trusted"), "high").otherwise("low").alias("trust"),
-        "_d.explanation",
+        told(2).alias("explanation"),
     )
 
 

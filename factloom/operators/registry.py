@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import content_tokens, digit_runs
 from ..functions.units import unit_class
+from ..scratch import written
 
 ENTITY_TAU, PREDICATE_TAU = 0.82, 0.78
 
@@ -58,13 +59,24 @@ def clustered(rows: pd.DataFrame, tau: float) -> pd.DataFrame:
     return rows.assign(canonical=[rows["form"].iloc[first[k]] for k in own], canonical_rank=[rows["rank"].iloc[first[k]] for k in own], centroid=[centroids[k].tolist() for k in own])
 
 
+def numbered(df: DataFrame, column: str, *order: Column) -> DataFrame:
+    """``df`` with ``column``, the place of a row among all in an order without ties, from 1: a sort by ranges, and an offset for each of them."""
+    placed = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), column)
+    starts, total = [], 0
+    for part, n in sorted(placed.groupBy("_range").count().collect()):  # a row for each range
+        starts.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(starts, "_range int, _before long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.join(F.broadcast(offsets), "_range").withColumn(column, F.col("_before") + within).drop("_range", "_before")
+
+
 def build(forms: DataFrame, vectors: DataFrame, kind: str, tau: float) -> DataFrame:
     """``form, id, canonical, n, rank, centroid`` of every form; ``vectors`` has ``form, vec``.
 
     Equal similarities go to the older cluster, equal frequencies to the smaller form.
     """
-    everywhere = Window.orderBy(F.desc("n"), "form")
-    ranked = forms.withColumn("rank", F.row_number().over(everywhere))  # the registry's distinct forms, not facts
+    ranked = numbered(forms, "rank", F.desc("n"), F.asc("form"))
     klass = F.array_join(digit_runs(F.col("form")), " ")
     if kind == "entity":
         klass = F.concat_ws("\x01", klass, F.array_join(content_tokens(F.col("form")), " "))
@@ -75,9 +87,11 @@ def build(forms: DataFrame, vectors: DataFrame, kind: str, tau: float) -> DataFr
         return out[["form", "n", "rank", "canonical", "canonical_rank", "centroid"]]
 
     assigned = ready.groupBy("klass").applyInPandas(run, "form string, n long, rank long, canonical string, canonical_rank long, centroid array<float>")
-    firsts = assigned.select("canonical_rank").distinct()
-    numbered = firsts.withColumn("id", F.format_string("%s_%04d", F.lit(kind[:3]), F.row_number().over(Window.orderBy("canonical_rank")) - 1))
-    return assigned.join(numbered, "canonical_rank").select("form", "id", "canonical", "n", "rank", "centroid")
+    # Written: the loop runs once, for the numbers of the clusters and for their members.
+    assigned = written(assigned, "assigned")
+    firsts = numbered(assigned.select("canonical_rank").distinct(), "number", F.asc("canonical_rank"))
+    ids = firsts.select("canonical_rank", F.format_string("%s_%04d", F.lit(kind[:3]), F.col("number") - 1).alias("id"))
+    return assigned.join(ids, "canonical_rank").select("form", "id", "canonical", "n", "rank", "centroid")
 
 
 def registry(assigned: DataFrame, kind: str) -> DataFrame:

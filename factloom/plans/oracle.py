@@ -190,6 +190,10 @@ ORACLES: dict[str, str] = {
     "job_detail": "SELECT 'job' || event_id AS job_id, event_type AS status FROM events WHERE event_id = (SELECT min(event_id) FROM events)",
     "cache_rows": "SELECT sha256('hashed-64|64|' || p_type) AS key, 'hashed-64' AS model, 64 AS dims, 64 AS width FROM (SELECT DISTINCT p_type FROM part WHERE p_type NOT LIKE 'S%')",
     "answer_keys": "SELECT doc_id, sha256('2|m1|' || coalesce(text, '')) AS key FROM documents",
+    "registry_leaders": """WITH f AS (SELECT p_name || ' ' || p_brand AS form, count(*) AS n FROM part GROUP BY 1),
+      r AS (SELECT form, n, row_number() OVER (ORDER BY n DESC, form) AS rank, regexp_extract(form, '[0-9]+') AS d, lower(split_part(form, ' ', 2))[1:1] AS w, length(form) % 2 AS u FROM f),
+      c AS (SELECT *, min(rank) OVER (PARTITION BY d, w, u) AS lead, first_value(form) OVER (PARTITION BY d, w, u ORDER BY rank) AS canonical FROM r)
+      SELECT form, format('pre_{:04d}', dense_rank() OVER (ORDER BY lead) - 1) AS id, canonical, n, rank FROM c""",
     "registry_rows": """WITH a AS (SELECT p_size, p_type, count(*) AS n, min(p_partkey) AS rank FROM part GROUP BY ALL)
       SELECT 'predicate' AS kind, 'pre_' || p_size AS id, 'size ' || p_size AS canonical, string_agg(p_type, ';' ORDER BY rank, p_type) AS forms, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY p_size""",
     "facts_backfilled": "SELECT p_partkey, p_brand AS subject, CASE WHEN p_brand NOT LIKE '%3' THEN lower(p_brand) END AS entity_id FROM part",

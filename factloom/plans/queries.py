@@ -460,6 +460,17 @@ def registry_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.build(forms, vectors, "predicate", registry.PREDICATE_TAU).select("form", "id", "canonical", "n")
 
 
+@query
+def registry_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the parts with their brands; vectors are equal where second words begin alike, and units follow the name's length."""
+    name = F.concat("p_name", F.lit(" "), "p_brand")
+    parts = table(spark, sf_dir, "part").select(name.alias("predicate"), F.when(F.length(name) % 2 == 0, "%").otherwise("₹").alias("unit"))
+    forms = registry.surface_forms(parts, "predicate")
+    letter = F.ascii(F.lower(F.get(F.split("form", " "), F.lit(1)))) - 97
+    vectors = forms.select("form", F.transform(F.sequence(F.lit(0), F.lit(25)), lambda d: (d == letter).cast("float")).alias("vec"))
+    return registry.build(forms, vectors, "predicate", registry.PREDICATE_TAU).select("form", "id", "canonical", "n", "rank")
+
+
 @query
 def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry of the parts' types, clustered by size."""

@@ -1,5 +1,6 @@
 """The decision table, its invariants, and the golden counts of the facts view."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -86,6 +87,30 @@ def test_golden_counts(spark):
     assert len({r.verdict_id for r in found}) == len(found)
 
 
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    """Signatures with gaps, by blocks, dealt blocks and whole cells, against a plain loop."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(90):
+        quals = {k: rng.choice(("x", "y", "z")) for k in ("basis", "segment", "scope") if rng.random() < 0.8}
+        rows.append((rng.choice(("d1", "d2")), "revenue", float(rng.randint(1, 3)), quals, []))
+    rows += rows[:5]
+    want = {}
+    for (i, a), (j, b) in ((x, y) for x in enumerate(rows) for y in enumerate(rows)):
+        if f"f{i}" < f"f{j}":
+            clash = [k for k in a[3] if k in b[3] and a[3][k] != b[3][k]]
+            if not clash:
+                want[f"f{i}", f"f{j}"] = abs(a[2] - b[2]) <= 1  # each is printed to a half
+            elif len(clash) == 1 and abs(a[2] - b[2]) > 1:
+                want[f"f{i}", f"f{j}"] = clash[0]
+    for few, share in ((0, 500), (0, 3), (10**6, 500), (10**6, 7)):
+        monkeypatch.setattr(reconcile, "FEW", few)
+        monkeypatch.setattr(reconcile, "SHARE", share)
+        found = reconcile.reconcile(facts(spark, *rows)).select("fact_a", "fact_b", "verdict", "reason_code").collect()
+        got = {(r.fact_a, r.fact_b): r.reason_code.split(":")[1] if r.reason_code.startswith("QUALIFIER_DIFF") else r.verdict == "CORROBORATED" for r in found}
+        assert len(found) == len(got) and got == want
+
+
 def test_grid_conflict(spark):
     rows = [("d1", "r", 1.0, FY24, []), ("d2", "r", 9.0, FY24, []), ("d2", "r", 3.0, {"period": "FY23", "basis": "standalone"}, []), ("d2", "r", None, {}, [])]
     got = {r.fact_id: (r.row_val, r.col_val, r.conflict) for r in cells.grid(reconcile.prepared(facts(spark, *rows))).collect()}
