@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -66,6 +67,21 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a task's batches; what it freed goes back to the system at its end, as the worker lives on through other tasks and operators."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def partitions(df: DataFrame, each: int = 16 << 20) -> int:
     """Shuffle partitions for what a table read from files gives: one for every ``each`` bytes of it, the session's number at least."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

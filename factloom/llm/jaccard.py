@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_filter, in_filter, materialise, partitions, small_batches
+from .common import discard, id_filter, in_filter, lean, materialise, partitions, small_batches
 from .components import connected
 from .shingles import mixed, shingle_sets, signature
 
@@ -40,7 +40,7 @@ HEAVY, SLOTS_EACH, SLOTS_MOST = 16, 16, 1 << 23
 SMALL_MOST = 16
 KNOWN = 1 << 20
 #: Entries that a task gathers before it gives them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 PAIR = "a long, na int, ha int, b long, nb int, hb int, c int"
 
@@ -99,6 +99,7 @@ def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``doc_id, n, sig, few`` of every row: the size and a digest of its set, and of a small set the shingles themselves."""
     small_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(len(s), signature(s), s.tobytes() if 0 < len(s) <= SMALL_MOST else None) for _, s in shingle_sets(batch.column(1))]
@@ -121,6 +122,7 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.
 def count_prefixes(texts: DataFrame, heavy: Heavy | None) -> DataFrame:
     """``h, c``: in how many prefixes each shingle stands.  Sets whose prefix is heavy to a fifth are counted whole."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -158,6 +160,7 @@ def _collect_heavy(counts: DataFrame) -> Heavy:
 def subset_links(small: DataFrame, x: int, parts: int) -> DataFrame:
     """Links ``a, b`` among the sets ``sig, few`` of at most ``x`` shingles, enough of them to connect all that are linked; each is confirmed."""
 
+    @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, int]] = []
 
@@ -177,6 +180,7 @@ def subset_links(small: DataFrame, x: int, parts: int) -> DataFrame:
                 rows = []
         yield out()
 
+    @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -199,6 +203,7 @@ def subset_links(small: DataFrame, x: int, parts: int) -> DataFrame:
 def postings(texts: DataFrame, heavy: Heavy, least: int) -> DataFrame:
     """``h, sig, n, heavies, turn``: the prefixes of sets of at least ``least`` shingles; ``turn`` counts the heavy ones from 1, light ones have 0."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, who, size = [], [], 0
 
@@ -289,6 +294,7 @@ HOT = "h long, sig long, n int, heavies int, turn int"
 def met_in_lists(lists: DataFrame) -> DataFrame:
     """Of light lists the pairs, counted within each task (``h`` is null); of heavy ones of several members the entries."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _lists(batches, ("h", "sig", "n", "heavies", "turn"), "sig")
         if x is None:
@@ -315,6 +321,7 @@ def _needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 def star_pairs(lists: DataFrame) -> DataFrame:
     """Of each heavy list: its most typical member (the least part of light shingles) with all others that it may be linked with."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _lists(batches, ("h", "sig", "n", "heavies", "turn"), "sig")
         if x is None:
@@ -336,6 +343,7 @@ def apart(lists: DataFrame) -> DataFrame:
     They share ``_needed`` heavy ones at least, so the first shared one is followed by as many less one in both prefixes.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _lists(batches, ("h", "sig", "n", "heavies", "turn", "label"), "sig")
         if x is None:
@@ -372,6 +380,7 @@ def enough(pairs: DataFrame) -> DataFrame:
     return whole.where((F.col("na") * 5 >= F.col("nb") * 4) & (F.col("c") + F.least("ha", "hb") + behind >= need)).select("a", "b")
 
 
+@lean
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs ``a, b`` whose whole sets ``x, y`` are linked."""
     for batch in batches:
@@ -394,6 +403,7 @@ def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     sent = spark.sparkContext.broadcast(id_filter(ends.join(classes, "sig"), "at"))
 
+    @lean
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def asked() -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ranges, slices, small_batches, text_bytes, union
+from .common import lean, materialise, ranges, slices, small_batches, text_bytes, union
 
 FAN_IN = 8
 #: Words that a worker remembers before it starts afresh.
@@ -107,6 +107,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     """
     small_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _tokenizers:
             _tokenizers[tokenizer_path] = WordTokenizer(tokenizer_path)
@@ -181,6 +182,7 @@ def _pack_node(rows: dict[str, np.ndarray], capacity: int, level: int, last: boo
 def _round(df: DataFrame, capacity: int, level: int, last: bool) -> DataFrame:
     names = [x.split()[0] for x in PLACED.split(", ")]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:

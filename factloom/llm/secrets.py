@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import lean, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed patterns of the contract.
@@ -193,6 +193,7 @@ def survey(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[tupl
     """The highest score bin that counts as random, by alphabet and band of lengths; -1 where none does."""
     small_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
@@ -284,6 +285,7 @@ def scan(docs: DataFrame, cut: dict[tuple[int, int], int], key: str = "doc_id",
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = spans_of(batch.column(1).to_pylist(), cut)
@@ -300,6 +302,7 @@ def redact(docs: DataFrame, cut: dict[tuple[int, int], int], text: str = "text",
     small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
