@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +18,68 @@ MONTHS = "january|february|march|april|may|june|july|august|september|october|no
 DATE = rf"(?iU)(\b(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b|\b\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b)"
 
 
+#: The smallest double that has all its bits.
+NORMAL = 2.2250738585072014e-308
+LIMB = 10**9
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _digits(m: Column, e: Column) -> Column:
+    """All digits of m * 2**e, or of m * 5**-e where e is negative (m * 2**e less the point), as text."""
+    long, div = lambda n: F.lit(n).cast("long"), lambda x, y: F.call_function("div", x, y)
+
+    def factors(n: Column, base: int, most: int) -> Column:
+        return F.concat(F.array_repeat(long(base**most), div(n, F.lit(most)).cast("int")), F.array(F.pow(F.lit(float(base)), n % most).cast("long")))
+
+    def times(limbs: Column, factor: Column) -> Column:
+        def of_limb(s: Column, limb: Column) -> Column:
+            product = limb * factor + s["over"]
+            return F.struct(div(product, long(LIMB)).alias("over"), F.concat(s["out"], F.array(product % LIMB)).alias("out"))
+
+        none = F.struct(long(0).alias("over"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(limbs, none, of_limb, lambda s: F.concat(s["out"], F.array(s["over"])))
+
+    steps = F.when(e < 0, factors(-e, 5, 12)).otherwise(factors(e, 2, 29))
+    limbs = F.aggregate(steps, F.array(m % LIMB, div(m, long(LIMB))), times)  # nine digits each, the lowest first
+    return F.regexp_replace(F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), ""), "^0+", "")
+
+
+def _rounded(size: Column) -> Column:
+    """A positive double at ten significant digits, from its exact value, ties to even."""
+
+    def of_exponent(e: Column) -> Column:
+        half = F.floor(-e / 2)  # two steps, as one power of two may be out of range
+        m = (size * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), -e - half)).cast("long")
+        return _bound(_digits(m, e), lambda d: of_digits(d, F.length(d) - 1 + F.least(e, F.lit(0))))
+
+    def of_digits(d: Column, place: Column) -> Column:
+        head, rest = F.substring(d, 1, 10).cast("long"), F.regexp_replace(F.substring(d, 11, 2_000), "0+$", "")
+        up = (rest > "5") | ((rest == "5") & (head % 2 == 1))
+        return _bound((head + up.cast("long")).cast("string"), lambda t: F.concat(F.substring(t, 1, 1), F.lit("."), F.substring(t, 2, 9), F.lit("e"), F.format_string("%+03d", place + F.length(t) - 10)))
+
+    return _bound(F.floor(F.log2(size)).cast("int") - 54, of_exponent)
+
+
 def canonical(number: Column) -> Column:
-    """A number at ten significant digits, as text that is equal for equal numbers."""
-    return F.when(number == 0, F.lit("0")).otherwise(F.format_string("%.9e", number))
+    """A number at ten significant digits, as text that is equal for equal numbers.
+
+    What is rounded is the exact value, ties to even.  Spark's own format rounds the shortest form of a double, half up, which
+    is another thing where that form has eleven digits, the last a 5, and where a double lacks bits.
+    """
+    size = F.abs(number)
+    shortest = F.format_string("%.10e", size)
+    open_ = (size < NORMAL) | ((F.substring(shortest, 12, 1) == "5") & (shortest.cast("double") == size))
+    sign = F.when(number < 0, F.lit("-")).otherwise("")
+    return (
+        F.when(number == 0, F.lit("0"))
+        .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+        .when(open_, F.concat(sign, _rounded(size)))
+        .otherwise(F.format_string("%.9e", number))
+    )
 
 
 def _figures(text: Column, pattern: str) -> Column:

@@ -124,3 +124,10 @@ def test_text(spark):
     assert mapped(spark, [" x\t", " a b ", None], text.stripped) == ["x", "a b", None]
     assert mapped(spark, ["ÀB", "àb"], lambda c: text.matches_like(c, "àB")) == [False, True]
     assert mapped(spark, ["Ms. Oak Lantern", "Lantern Oak Ltd", ""], naming.content_tokens) == [["lantern", "oak"], ["lantern", "oak"], []]
+
+
+def test_figures_are_rounded_from_their_exact_value(spark):
+    said = ["47554385225", "72915475505", "72915475515", "1234567.8905", "123456789.25", "123456789.05", "1.0000000005", "9.9999999995", "99999999995", "12345678905" + "0" * 30, "0." + "0" * 20 + "12345678905", "0." + "0" * 322 + "5", "0." + "0" * 309 + "12345678905", "9" * 400, "1" + "0" * 308, "3.5"]
+    want = sorted({f"{x:.9e}" for t in said for x in (float(t), -float(t))})
+    found = spark.createDataFrame([(f"({t})",) for t in said], "text string").select(grounding.numbers_in(F.col("text")).alias("n")).collect()
+    assert sorted({n for r in found for n in r.n}) == want
