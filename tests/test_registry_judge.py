@@ -87,6 +87,27 @@ def test_judge(spark):
     assert [r.explanation for r in again.collect()] == ["same  [judge]"] and more.count() == 0
 
 
+def test_gate_meets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(judge, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    rows = [(f"f{k:03d}", f"d{k % 3}", "abc"[min(k % 7, 2)], "p", f"t{k // 2}", f"c{k}", None, []) for k in range(90)]
+    vec = {f"t{k}": rng.integers(-2, 3, 3 if k % 5 else 2).astype(float).tolist() for k in range(45)}
+    vec["t7"], vec["t8"] = [0.0, 0.0, 0.0], [1.0, None, 0.0]
+    facts = spark.createDataFrame(rows, FACTS)
+    vectors = spark.createDataFrame(list(vec.items()), "object_text string, vec array<double>")
+    pairs = judge.gate(facts, vectors, 0.5)
+    assert "CartesianProduct" not in (plan := pairs._jdf.queryExecution().toString()) and "MapInArrow" in plan
+    unit = {t: np.array(v) / (np.linalg.norm(v) or 1) for t, v in vec.items() if None not in v}
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] != b[1] and a[2] == b[2] and a[4] != b[4] and a[4] in unit and b[4] in unit and len(unit[a[4]]) == len(unit[b[4]]) and unit[a[4]] @ unit[b[4]] >= 0.5 - 1e-12:
+                want.add((a[2], a[0], b[0]))
+    got = [(r.entity_id, r.a.fact_id, r.b.fact_id) for r in pairs.collect()]
+    near = {r for r in want if abs(unit[rows[int(r[1][1:])][4]] @ unit[rows[int(r[2][1:])][4]] - 0.5) < 1e-12}
+    assert len(got) == len(set(got)) and want - near <= set(got) <= want and len(got) > 100
+
+
 class Flaky:
     model = "m"
 
