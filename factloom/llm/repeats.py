@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, materialise, partitions, passing, ranges, slices, small_batches, text_bytes
+from .common import id_filter, lean, materialise, partitions, passing, ranges, slices, small_batches, text_bytes
 from .shingles import mixed
 
 LENGTH, SEED = 100, 32
@@ -43,6 +43,8 @@ ROOT_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 #: Contested runs of one name above which each of their windows travels by itself.
 CROWD = 2_000
+#: Partitions of contested runs for one of runs: a task holds some 80 bytes for each window, of which a byte of text starts one.
+SPREAD = 4
 LOWEST = -(2**63)
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -129,6 +131,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nda
 
 
 def _sampled(docs: DataFrame) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
@@ -187,6 +190,7 @@ def _run_batch(x: dict[str, np.ndarray], crowded: np.ndarray, contested: np.ndar
 def _compare_runs(sampled: DataFrame, parts: int) -> DataFrame:
     """Runs that are covered, or contested; those of unique names are gone."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _read(batches)
         if x is None:
@@ -224,6 +228,7 @@ def _windows(docs: DataFrame, contested: DataFrame) -> DataFrame:
     listed = contested.groupBy("doc", "twin").agg(F.collect_list(F.struct("first", "last", "place", "name", "crowded")).alias("runs"))
     joined = _split(docs, contested).where("wanted").select("doc", "twin", "text").join(listed, ["doc", "twin"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
@@ -233,7 +238,7 @@ def _windows(docs: DataFrame, contested: DataFrame) -> DataFrame:
             doc, twin = batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner]
             at = offsets[:-1][owner] + first
             size = last - first + LENGTH
-            for a, b in slices(np.concatenate([[0], np.cumsum(size)]), 4 * CHUNK):
+            for a, b in slices(np.concatenate([[0], np.cumsum(size)]), CHUNK):
                 own = data[ranges(at[a:b], size[a:b])]
                 ends = np.concatenate([[0], np.cumsum(size[a:b])])
                 plain = np.flatnonzero(~crowded[a:b])
@@ -264,6 +269,7 @@ def _window_batch(key, back, doc, twin, first, strings) -> pa.RecordBatch:
 def _compare_windows(windows: DataFrame, parts: int) -> DataFrame:
     """``doc, twin, first, last``: ranges of starts of windows that also start earlier."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -281,9 +287,9 @@ def _compare_windows(windows: DataFrame, parts: int) -> DataFrame:
         names = np.zeros(len(row), np.uint64)
         if plain.any():
             at = offsets[:-1][row[plain]] + offset[plain]
-            for a in range(0, len(at), 4 * CHUNK):  # strings lie in a row, so a stretch of them is one array
-                part = at[a : a + 4 * CHUNK]
-                names[np.flatnonzero(plain)[a : a + 4 * CHUNK]] = Names(data[part[0] : part[-1] + LENGTH]).windows(part - part[0])
+            for a in range(0, len(at), CHUNK):  # strings lie in a row, so a stretch of them is one array
+                part = at[a : a + CHUNK]
+                names[np.flatnonzero(plain)[a : a + CHUNK]] = Names(data[part[0] : part[-1] + LENGTH]).windows(part - part[0])
             names[plain] = mixed(names[plain] + mixed(key[row[plain]].view(np.uint64) + (back[row[plain]] - offset[plain]).astype(np.uint64)))
         names[~plain] = key[row[~plain]].view(np.uint64)
         start = first[row].astype(np.int64) + offset
@@ -316,6 +322,7 @@ def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+@lean
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -337,7 +344,7 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
     parts = partitions(docs)
     found = materialise(_compare_runs(_sampled(docs), parts), "runs")
     contested = found.where("contested")
-    windows = materialise(_compare_windows(_windows(docs, contested), parts), "windows")
+    windows = materialise(_compare_windows(_windows(docs, contested), SPREAD * parts), "windows")
     return found.where("not contested").select("doc", "twin", "first", "last").unionByName(windows)
 
 

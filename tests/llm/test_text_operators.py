@@ -315,3 +315,17 @@ def test_quality_of_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.classify(docs, quality.learn(docs, labels)).count() == 0
+
+
+def test_contested_windows_are_dealt_finer_than_runs(spark, monkeypatch):
+    from factloom.llm import repeats
+    from factloom.llm.common import partitions
+
+    dealt = []
+    compared = repeats._compare_windows
+    monkeypatch.setattr(repeats, "_compare_windows", lambda windows, parts: dealt.append(parts) or compared(windows, parts))
+    line = "a passage of some length that stands in two documents, with other words on either side of it, and so on to its end. "
+    docs = spark.createDataFrame([(1, f"first {line} one"), (2, f"second {line} two, and more"), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect()}
+    assert got[1] == (0, 0) and got[3] == (0, 0) and got[2] == (len(line) + 2, 1)
+    assert dealt == [repeats.SPREAD * partitions(docs)] and repeats.SPREAD > 1
