@@ -25,9 +25,9 @@ from .common import lean, materialise, ranges, slices, small_batches, text_bytes
 
 FAN_IN = 8
 #: Words that a worker remembers before it starts afresh.
-WORDS = 400_000
+WORDS = 100_000
 #: Bytes of text that are tokenised at once.
-CHUNK = 2_000_000
+CHUNK = 500_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECE}, sequence_id long, offset long, load int, open boolean, node long"
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from .common import slices, text_bytes
 
-CHUNK = 2_000_000
+CHUNK = 500_000
 WORDS = 5
 _rng = np.random.default_rng(0x5EED)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -329,3 +329,18 @@ def test_contested_windows_are_dealt_finer_than_runs(spark, monkeypatch):
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect()}
     assert got[1] == (0, 0) and got[3] == (0, 0) and got[2] == (len(line) + 2, 1)
     assert dealt == [repeats.SPREAD * partitions(docs)] and repeats.SPREAD > 1
+
+
+def test_a_worker_remembers_few_words():
+    import numpy as np
+    import pyarrow as pa
+
+    from factloom.llm import packing
+    from factloom.llm.queries import tokenizer_path
+
+    coder = packing.WordTokenizer(tokenizer_path())
+    texts = [" ".join(f"w{a * 40_000 + k}" for k in range(40_000)) for a in range(5)]
+    for text in texts:
+        ids, bounds = coder.encode(pa.array([text, None]))
+        assert bounds.tolist() == [0, len(ids), len(ids)] and len(coder.index) < 150_000
+    assert np.array_equal(ids, coder.tokenizer.encode(texts[-1], add_special_tokens=False).ids)
