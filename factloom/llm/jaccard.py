@@ -13,9 +13,10 @@ enough in common are compared.  How often shingles occur in prefixes is counted
 documents; those above ``HEAVY`` are *heavy*, go last in the order, and their lists
 are not paired out (tasks know them by a table of at most ``SLOTS_MOST`` slots; what shares a slot with
 a heavy shingle is treated as one, which changes the work and no link): a list first meets its own most typical member (a star), and only pairs that are
-then still in different components are looked at.  Of those, a pair without a common light shingle must share
-so many of the heavy ones in its prefixes that the first of them comes early in both, which leaves
-few.  So a large group of near copies costs its size and not its square, and no link is lost.
+then still in different components are looked at.  Those are paired by sketches, which differ in no more bits than
+the sets differ in shingles, so whoever differs in too many bits is not linked.  Of the others a forest is compared, which
+connects them or shows which of them are not linked, until nothing is left to connect.  So a large group of near copies
+gives about as many pairs as it has members, only its sketches are held against one another, and no link is lost.
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ SMALL_MOST = 16
 KNOWN = 1 << 20
 #: Entries that a task gathers before it gives them on.
 FLUSH = 1_000_000
+#: Bits of a sketch for each shingle (the next power of two is taken), and at most.
+SKETCH_EACH, SKETCH_MOST = 8, 1 << 14
+#: Members of a group for each task that it is dealt to, and rounds, the last one of all pairs.
+DEALT, ROUNDS = 4096, 8
 
 PAIR = "a long, na int, ha int, b long, nb int, hb int, c int"
 
@@ -318,17 +323,22 @@ def _needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.maximum(shared(n, m) - np.maximum(n - prefix_size(n), m - prefix_size(m)), 1)
 
 
+def _centres(x: dict[str, np.ndarray]) -> np.ndarray:
+    """For each entry the most typical one of its list: the least part of light shingles."""
+    light = (prefix_size(x["n"]) - x["heavies"]) / x["n"]
+    order = np.lexsort((x["sig"].view(np.uint64), light, x["list"]))
+    return order[np.searchsorted(x["list"][order], np.arange(int(x["list"][-1]) + 1))][x["list"]]
+
+
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """Of each heavy list: its most typical member (the least part of light shingles) with all others that it may be linked with."""
+    """Of each heavy list: its most typical member with all others that it may be linked with."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _lists(batches, ("h", "sig", "n", "heavies", "turn"), "sig")
         if x is None:
             return
-        light = (prefix_size(x["n"]) - x["heavies"]) / x["n"]
-        order = np.lexsort((x["sig"].view(np.uint64), light, x["list"]))
-        centre = order[np.searchsorted(x["list"][order], np.arange(int(x["list"][-1]) + 1))][x["list"]]
+        centre = _centres(x)
         i = np.arange(len(centre))
         keep = (i != centre) & (5 * np.minimum(x["n"], x["n"][centre]).astype(np.int64) >= 4 * np.maximum(x["n"], x["n"][centre]))
         keep &= np.minimum(x["heavies"], x["heavies"][centre]) >= _needed(x["n"], x["n"][centre])
@@ -337,38 +347,108 @@ def star_pairs(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, PAIR)
 
 
-def apart(lists: DataFrame) -> DataFrame:
-    """Pairs of different components of heavy lists (with ``label``) that may be linked without a common light shingle.
+def unsettled(lists: DataFrame) -> DataFrame:
+    """``centre, sig, n, heavies, lists`` of the members of heavy lists (with ``label``) that lie in several components.
 
-    They share ``_needed`` heavy ones at least, so the first shared one is followed by as many less one in both prefixes.
+    Lists of one centre form a group, in which a member has one row however many of them it is in; in ``lists`` each list sets a bit.
     """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _lists(batches, ("h", "sig", "n", "heavies", "turn", "label"), "sig")
+        x = _lists(batches, ("h", "sig", "n", "heavies", "label"), "sig")
         if x is None:
             return
-        room = x["heavies"] - x["turn"] + 1
         names = np.lexsort((x["label"], x["list"]))
         many = np.bincount(x["list"][names][1:], (x["list"][names][1:] == x["list"][names][:-1]) & (x["label"][names][1:] != x["label"][names][:-1]), int(x["list"][-1]) + 1) > 0
-        i, j, held = [], [], 0
-        for b in np.flatnonzero(many[x["list"]] & (x["left"] == x["length"] - 1)):
-            rows = np.arange(b, b + x["length"][b])
-            for k in rows[:-1]:
-                to = np.arange(k + 1, rows[-1] + 1)
-                to = to[: np.searchsorted(x["n"][to], 5 * int(x["n"][k]) // 4, side="right")]
-                to = to[(x["label"][to] != x["label"][k]) & (np.minimum(room[to], room[k]) >= _needed(np.full(len(to), x["n"][k]), x["n"][to]))]
-                if len(to):
-                    i.append(np.full(len(to), k))
-                    j.append(to)
-                    held += len(to)
+        take = many[x["list"]]
+        bit = np.left_shift(np.uint64(1), x["h"].view(np.uint64) & np.uint64(63))
+        cols = (x["sig"][_centres(x)], x["sig"], x["n"], x["heavies"], bit.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c[take]) for c in cols], names=["centre", "sig", "n", "heavies", "lists"])
+
+    members = lists.mapInArrow(run, "centre long, sig long, n int, heavies int, lists long")
+    return members.groupBy("centre", "sig", "n", "heavies").agg(F.bit_or("lists").alias("lists"))
+
+
+def sketch(s: np.ndarray, most: int) -> bytes:
+    """Which of at most so many bits an odd number of a set's shingles falls on: two sketches differ in no more bits than the sets in shingles."""
+    bits = min(most, max(64, 1 << (len(s) * SKETCH_EACH - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """``sig, sketch`` of whole sets."""
+    most = SKETCH_MOST
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [sketch(np.frombuffer(s, np.uint64), most) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], names=["sig", "sketch"])
+
+    return sets.select("sig", "shingles").mapInArrow(run, "sig long, sketch binary")
+
+
+def _near(x: dict[str, np.ndarray], drawn: list[bytes], part: int, parts: int, whole: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Every ``parts``-th member of a group (in order of size), by its place, with the places of those after it that it is paired with."""
+    n, comp = x["n"].astype(np.int64), np.unique(x["label"], return_inverse=True)[1]
+    width = np.array([len(d) for d in drawn])  # grows with the size; of a pair one is twice the other at most, and folds to it
+    first = {int(w): int(np.searchsorted(width, w)) for w in np.unique(width)}
+    words = {w: np.frombuffer(b"".join(drawn[f : int(np.searchsorted(width, w, side="right"))]), np.uint64).reshape(-1, w // 8) for w, f in first.items()}
+    folded = {w: v[:, : w // 16] ^ v[:, w // 16 :] for w, v in words.items() if w // 2 in words}
+    for k in range(part, len(n) - 1, parts):
+        to = np.arange(k + 1, np.searchsorted(n, 5 * n[k] // 4, side="right"))
+        to = to[(comp[to] != comp[k]) & (x["lists"][to] & x["lists"][k] != 0)]
+        to = to[np.minimum(x["heavies"][to], x["heavies"][k]) >= _needed(np.full(len(to), n[k]), n[to])]
+        if not len(to):
+            continue
+        w = int(width[k])
+        own, cut = words[w], int(np.searchsorted(to, first[w] + len(words[w])))
+        differ = np.bitwise_count(own[to[:cut] - first[w]] ^ own[k - first[w]]).sum(1, dtype=np.int64)
+        if cut < len(to):
+            differ = np.concatenate([differ, np.bitwise_count(folded[2 * w][to[cut:] - first[2 * w]] ^ own[k - first[w]]).sum(1, dtype=np.int64)])
+        spare = n[to] + n[k] - 2 * shared(n[to], n[k]) - differ
+        to, spare = to[spare >= 0], spare[spare >= 0]
+        if len(to) and not whole:
+            to = to[np.argsort(-spare, kind="stable")]
+            met, at = np.unique(comp[to], return_index=True)
+            to = to[at]
+            comp[np.isin(comp, met)] = comp[k]
+        if len(to):
+            yield k, to
+
+
+def may_link(members: DataFrame, whole: bool) -> DataFrame:
+    """Pairs ``a, b`` of a group's different components that may be linked without a common light shingle, by their sketches.
+
+    Of these pairs, unless ``whole``, only a forest: between what others connect already, there is none.  A group is dealt by its ``part`` of ``parts``.
+    """
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        x = {k: t.column(k).to_numpy() for k in ("centre", "part", "parts", "sig", "n", "heavies", "lists", "label")}
+        order = np.lexsort((x["sig"], x["n"], x["part"], x["centre"]))
+        x = {k: v[order] for k, v in x.items()}
+        begin = np.flatnonzero(np.concatenate([[True], (x["centre"][1:] != x["centre"][:-1]) | (x["part"][1:] != x["part"][:-1])]))
+        a, b, held = [], [], 0
+        for first, last in zip(begin, [*begin[1:], len(order)], strict=True):
+            drawn = t.column("sketch").take(pa.array(order[first:last])).to_pylist()
+            own = {k: v[first:last] for k, v in x.items()}
+            for k, to in _near(own, drawn, int(own["part"][0]), int(own["parts"][0]), whole):
+                a.append(np.full(len(to), own["sig"][k]))
+                b.append(own["sig"][to])
+                held += len(to)
                 if held > FLUSH:
-                    yield _pair_batch(_pairs(x, np.concatenate(i), np.concatenate(j), KNOWN))
-                    i, j, held = [], [], 0
-        if i:
-            yield _pair_batch(_pairs(x, np.concatenate(i), np.concatenate(j), KNOWN))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    a, b, held = [], [], 0
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return lists.mapInArrow(run, PAIR)
+    return members.mapInArrow(run, "a long, b long").distinct()
 
 
 def enough(pairs: DataFrame) -> DataFrame:
@@ -394,14 +474,12 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The links among ``pairs``, each pair's whole sets compared.
+def whole_sets(docs: DataFrame, sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``sig, shingles`` of the sets named by ``sigs`` (each once), and of a few others.
 
     ``docs`` has ``at`` (a hash of the id) and the text, ``classes`` the ``at`` of a document of each set.
     """
-    spark = docs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sent = spark.sparkContext.broadcast(id_filter(ends.join(classes, "sig"), "at"))
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(sigs.join(classes, "sig"), "at"))
 
     @lean
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,12 +502,46 @@ def compare(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         if sigs:
             yield out()
 
-    sets = docs.mapInArrow(wanted, "sig long, shingles binary").dropDuplicates(["sig"])
+    return docs.mapInArrow(wanted, "sig long, shingles binary").dropDuplicates(["sig"])
+
+
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among ``pairs``, each pair's whole sets compared."""
     left = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
 
 
+def _settle(placed: DataFrame, members: DataFrame, classes: DataFrame, tried: DataFrame, links: DataFrame, labels: DataFrame, parts: int) -> tuple[list[DataFrame], DataFrame]:
+    """What was written on the way, and the labels once all that is linked among ``members`` (of ``unsettled``) is connected.
+
+    Each round compares a forest of the pairs that may be linked, so no more pairs than members.  When one has linked nothing,
+    or before ``ROUNDS`` are over, all pairs that may still be linked are compared; few that are not linked pass the sketches.
+    """
+    sets = materialise(whole_sets(placed, members.select("sig").distinct(), classes), "unsettled-sets")
+    drawn = materialise(sketches(sets), "sketches")
+    spent = [sets, drawn]
+    dealt = members.groupBy("centre").agg(F.expr(f"cast((count(*) - 1) div {DEALT} + 1 as int)").alias("parts"))
+    dealt = members.join(dealt, "centre").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).join(drawn, "sig")
+    whole = ROUNDS < 2
+    for turn in range(1, ROUNDS + 1):
+        labelled = dealt.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        near = materialise(may_link(labelled.repartition(parts, "centre", "part"), whole), "pairs-near")
+        spent.append(near)
+        if not near.limit(1).count():
+            break
+        more = materialise(compare(near.join(tried, ["a", "b"], "left_anti"), sets), "links-apart")
+        spent.append(more)
+        tried, found = tried.unionByName(near), more.limit(1).count()
+        if found:
+            links = links.unionByName(more)
+            labels = connected(links)
+        if whole:
+            break
+        whole = not found or turn == ROUNDS - 1
+    return spent, labels
+
+
 def digests(text: str = "text") -> Column:
     """The digest of each row's set, as ``near_duplicate_rows`` gives it; null without words."""
 
@@ -481,20 +593,18 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
     star = star_pairs(hot.repartition(parts, "h")).select("a", "b")
     done = materialise(light.unionByName(star).distinct(), "pairs")
     placed = docs.select(place.alias("at"), F.col(text).alias("text"))
-    found = materialise(compare(placed, done, classes), "links")
+    ends = done.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    found = materialise(compare(done, whole_sets(placed, ends, classes)), "links")
     spent += [links, met, done, found, classes]
     links = links.unionByName(found)
     labels = connected(links)
     if hot.limit(1).count():
-        labelled = hot.join(labels, hot["sig"] == labels["node"], "left").select("h", "sig", "n", "heavies", "turn", F.coalesce("label", "sig").alias("label"))
-        rest = apart(labelled.repartition(parts, "h")).select("a", "b").distinct()
-        rest = materialise(rest.join(done, ["a", "b"], "left_anti"), "pairs-apart")
-        spent.append(rest)
-        if rest.limit(1).count():
-            more = materialise(compare(placed, rest, classes), "links-apart")
-            spent.append(more)
-            if more.limit(1).count():
-                labels = connected(links.unionByName(more))
+        labelled = hot.join(labels, hot["sig"] == labels["node"], "left").select("h", "sig", "n", "heavies", F.coalesce("label", "sig").alias("label"))
+        members = materialise(unsettled(labelled.repartition(parts, "h")), "unsettled")
+        spent.append(members)
+        if members.limit(1).count():
+            more, labels = _settle(placed, members, classes, done, links, labels, parts)
+            spent += more
 
     named = materialise(classes.join(labels, classes["sig"] == labels["node"], "left").select("sig", "first", F.coalesce("label", "sig").alias("label")), "named")
     discard(*spent)

@@ -84,6 +84,43 @@ def test_near_copies(spark, monkeypatch, seed, slots, bits):
     assert sorted(tuple(r) for r in got) == plain_components(rows)
 
 
+@pytest.mark.parametrize(("dealt", "bits", "rounds"), [(4096, 1 << 14, 8), (16, 64, 3), (16, 1 << 14, 1)])
+def test_near_copies_without_their_original(spark, monkeypatch, dealt, bits, rounds):
+    """Many are linked with no star; pairs stay in proportion to the group, and links are all found also with sketches that tell nothing."""
+    rng = random.Random(5)
+    base = text(rng, 150)
+    other = edited(rng, base, 5)
+    rows = [edited(rng, base, rng.choice((2, 3, 3, 3, 4))) for _ in range(240)] + [edited(rng, other, 1) for _ in range(60)]
+    rows += [t.rsplit(" ", rng.randint(1, 20))[0] for t in rows[:40]]  # of other sizes
+    rows = list(enumerate(rows))
+    made, write = [], jaccard.materialise
+
+    def counted(df, tag):
+        out = write(df, tag)
+        made.append(out.count() if df.columns == ["a", "b"] else 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    for name, value in (("DEALT", dealt), ("SKETCH_MOST", bits), ("ROUNDS", rounds)):
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    got = jaccard.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(tuple(r) for r in got) == plain_components(rows)
+    if rounds == 8:
+        assert sum(made) < 10 * len(rows)
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 8, 9, 60, 130, 300):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: -(n // 9) or None], rng.integers(0, 2**63, n // 4, dtype=np.uint64)]))
+        a, b = (np.frombuffer(jaccard.sketch(s, 1 << 10), np.uint64) for s in (x, y))
+        if len(b) > len(a):
+            assert len(b) == 2 * len(a)
+            b = b[: len(a)] ^ b[len(a) :]
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
 def test_near_copies_odd_rows(spark):
     t = "one two three four five six seven eight nine ten"
     rows = [(5, t), (5, t), (None, t), (7, None), (None, None), (8, "solo text of more than five words")]
