@@ -14,9 +14,9 @@ documents; those above ``HEAVY`` are *heavy*, go last in the order, and their li
 are not paired out (tasks know them by a table of at most ``SLOTS_MOST`` slots; what shares a slot with
 a heavy shingle is treated as one, which changes the work and no link): a list first meets its own most typical member (a star), and only pairs that are
 then still in different components are looked at.  Those are paired by sketches, which differ in no more bits than
-the sets differ in shingles, so whoever differs in too many bits is not linked.  Of the others a forest is compared, which
-connects them or shows which of them are not linked, until nothing is left to connect.  So a large group of near copies
-gives about as many pairs as it has members, only its sketches are held against one another, and no link is lost.
+the sets differ in shingles, so whoever differs in too many bits is not linked.  The others are compared within a task that
+has their sets, unless links found before connect them, and a forest of links is given.  So a large group of near copies
+gives no more links than it has members, only its sketches are held against one another, and no link is lost.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ KNOWN = 1 << 20
 FLUSH = 1_000_000
 #: Bits of a sketch for each shingle (the next power of two is taken), and at most.
 SKETCH_EACH, SKETCH_MOST = 8, 1 << 14
-#: Members of a group for each task that it is dealt to, and rounds, the last one of all pairs.
-DEALT, ROUNDS = 4096, 8
+#: Members of a block of a group, and shingles in all that it may hold.
+DEALT, SHINGLES_MOST = 1 << 14, 1 << 22
 
 PAIR = "a long, na int, ha int, b long, nb int, hb int, c int"
 
@@ -376,53 +376,45 @@ def sketch(s: np.ndarray, most: int) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def sketches(sets: DataFrame) -> DataFrame:
-    """``sig, sketch`` of whole sets."""
-    most = SKETCH_MOST
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            drawn = [sketch(np.frombuffer(s, np.uint64), most) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], names=["sig", "sketch"])
-
-    return sets.select("sig", "shingles").mapInArrow(run, "sig long, sketch binary")
+def _alike_sets(x: np.ndarray, y: np.ndarray) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= 80 * (len(x) + len(y) - common)
 
 
-def _near(x: dict[str, np.ndarray], drawn: list[bytes], part: int, parts: int, whole: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """Every ``parts``-th member of a group (in order of size), by its place, with the places of those after it that it is paired with."""
-    n, comp = x["n"].astype(np.int64), np.unique(x["label"], return_inverse=True)[1]
+def _forest(x: dict[str, np.ndarray], sets: list[np.ndarray], most: int) -> Iterator[tuple[int, int]]:
+    """Links, by their places, among members in order of size: of all that join different components, enough to connect these."""
+    n, block, comp = x["n"].astype(np.int64), x["block"], np.unique(x["label"], return_inverse=True)[1]
+    across = x["first"][0] != x["second"][0]  # pairs of one block meet elsewhere
+    drawn = [sketch(s, most) for s in sets]
     width = np.array([len(d) for d in drawn])  # grows with the size; of a pair one is twice the other at most, and folds to it
-    first = {int(w): int(np.searchsorted(width, w)) for w in np.unique(width)}
-    words = {w: np.frombuffer(b"".join(drawn[f : int(np.searchsorted(width, w, side="right"))]), np.uint64).reshape(-1, w // 8) for w, f in first.items()}
+    start = {int(w): int(np.searchsorted(width, w)) for w in np.unique(width)}
+    words = {w: np.frombuffer(b"".join(drawn[f : int(np.searchsorted(width, w, side="right"))]), np.uint64).reshape(-1, w // 8) for w, f in start.items()}
     folded = {w: v[:, : w // 16] ^ v[:, w // 16 :] for w, v in words.items() if w // 2 in words}
-    for k in range(part, len(n) - 1, parts):
+    for k in range(len(n) - 1):
         to = np.arange(k + 1, np.searchsorted(n, 5 * n[k] // 4, side="right"))
         to = to[(comp[to] != comp[k]) & (x["lists"][to] & x["lists"][k] != 0)]
+        if across:
+            to = to[block[to] != block[k]]
         to = to[np.minimum(x["heavies"][to], x["heavies"][k]) >= _needed(np.full(len(to), n[k]), n[to])]
         if not len(to):
             continue
         w = int(width[k])
-        own, cut = words[w], int(np.searchsorted(to, first[w] + len(words[w])))
-        differ = np.bitwise_count(own[to[:cut] - first[w]] ^ own[k - first[w]]).sum(1, dtype=np.int64)
+        own, cut = words[w], int(np.searchsorted(to, start[w] + len(words[w])))
+        differ = np.bitwise_count(own[to[:cut] - start[w]] ^ own[k - start[w]]).sum(1, dtype=np.int64)
         if cut < len(to):
-            differ = np.concatenate([differ, np.bitwise_count(folded[2 * w][to[cut:] - first[2 * w]] ^ own[k - first[w]]).sum(1, dtype=np.int64)])
+            differ = np.concatenate([differ, np.bitwise_count(folded[2 * w][to[cut:] - start[2 * w]] ^ own[k - start[w]]).sum(1, dtype=np.int64)])
         spare = n[to] + n[k] - 2 * shared(n[to], n[k]) - differ
-        to, spare = to[spare >= 0], spare[spare >= 0]
-        if len(to) and not whole:
-            to = to[np.argsort(-spare, kind="stable")]
-            met, at = np.unique(comp[to], return_index=True)
-            to = to[at]
-            comp[np.isin(comp, met)] = comp[k]
-        if len(to):
-            yield k, to
+        for j in to[spare >= 0][np.argsort(-spare[spare >= 0], kind="stable")]:
+            if comp[j] != comp[k] and _alike_sets(sets[k], sets[j]):
+                comp[comp == comp[j]] = comp[k]
+                yield k, int(j)
 
 
-def may_link(members: DataFrame, whole: bool) -> DataFrame:
-    """Pairs ``a, b`` of a group's different components that may be linked without a common light shingle, by their sketches.
-
-    Of these pairs, unless ``whole``, only a forest: between what others connect already, there is none.  A group is dealt by its ``part`` of ``parts``.
-    """
+def linked_apart(members: DataFrame) -> DataFrame:
+    """Links ``a, b`` of different components (``label``) in each group, dealt out by pairs of its blocks (``first, second``): no more than members, and what they leave apart is not linked."""
+    most = SKETCH_MOST
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,23 +422,16 @@ def may_link(members: DataFrame, whole: bool) -> DataFrame:
         if not got:
             return
         t = pa.Table.from_batches(got)
-        x = {k: t.column(k).to_numpy() for k in ("centre", "part", "parts", "sig", "n", "heavies", "lists", "label")}
-        order = np.lexsort((x["sig"], x["n"], x["part"], x["centre"]))
+        x = {k: t.column(k).to_numpy() for k in ("centre", "first", "second", "block", "sig", "n", "heavies", "lists", "label")}
+        order = np.lexsort((x["sig"], x["n"], x["second"], x["first"], x["centre"]))
         x = {k: v[order] for k, v in x.items()}
-        begin = np.flatnonzero(np.concatenate([[True], (x["centre"][1:] != x["centre"][:-1]) | (x["part"][1:] != x["part"][:-1])]))
-        a, b, held = [], [], 0
+        new = np.concatenate([[True], np.any([x[k][1:] != x[k][:-1] for k in ("centre", "first", "second")], axis=0)])
+        begin = np.flatnonzero(new)
         for first, last in zip(begin, [*begin[1:], len(order)], strict=True):
-            drawn = t.column("sketch").take(pa.array(order[first:last])).to_pylist()
             own = {k: v[first:last] for k, v in x.items()}
-            for k, to in _near(own, drawn, int(own["part"][0]), int(own["parts"][0]), whole):
-                a.append(np.full(len(to), own["sig"][k]))
-                b.append(own["sig"][to])
-                held += len(to)
-                if held > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                    a, b, held = [], [], 0
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            sets = [np.frombuffer(t.column("shingles")[int(at)].as_buffer(), np.uint64) for at in order[first:last]]
+            links = np.array([*_forest(own, sets, most)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(own["sig"][links[:, 0]]), pa.array(own["sig"][links[:, 1]])], names=["a", "b"])
 
     return members.mapInArrow(run, "a long, b long").distinct()
 
@@ -464,13 +449,7 @@ def enough(pairs: DataFrame) -> DataFrame:
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs ``a, b`` whose whole sets ``x, y`` are linked."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            keep.append(100 * common >= 80 * (len(x) + len(y) - common))
+        keep = [_alike_sets(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -512,34 +491,12 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
 
 
-def _settle(placed: DataFrame, members: DataFrame, classes: DataFrame, tried: DataFrame, links: DataFrame, labels: DataFrame, parts: int) -> tuple[list[DataFrame], DataFrame]:
-    """What was written on the way, and the labels once all that is linked among ``members`` (of ``unsettled``) is connected.
-
-    Each round compares a forest of the pairs that may be linked, so no more pairs than members.  When one has linked nothing,
-    or before ``ROUNDS`` are over, all pairs that may still be linked are compared; few that are not linked pass the sketches.
-    """
-    sets = materialise(whole_sets(placed, members.select("sig").distinct(), classes), "unsettled-sets")
-    drawn = materialise(sketches(sets), "sketches")
-    spent = [sets, drawn]
-    dealt = members.groupBy("centre").agg(F.expr(f"cast((count(*) - 1) div {DEALT} + 1 as int)").alias("parts"))
-    dealt = members.join(dealt, "centre").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).join(drawn, "sig")
-    whole = ROUNDS < 2
-    for turn in range(1, ROUNDS + 1):
-        labelled = dealt.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        near = materialise(may_link(labelled.repartition(parts, "centre", "part"), whole), "pairs-near")
-        spent.append(near)
-        if not near.limit(1).count():
-            break
-        more = materialise(compare(near.join(tried, ["a", "b"], "left_anti"), sets), "links-apart")
-        spent.append(more)
-        tried, found = tried.unionByName(near), more.limit(1).count()
-        if found:
-            links = links.unionByName(more)
-            labels = connected(links)
-        if whole:
-            break
-        whole = not found or turn == ROUNDS - 1
-    return spent, labels
+def _dealt(members: DataFrame) -> DataFrame:
+    """The members of each group for all pairs of its blocks."""
+    blocks = F.expr(f"cast((count(*) - 1) div greatest(1, least({DEALT}, {SHINGLES_MOST} div max(n))) + 1 as int)")
+    sized = members.join(members.groupBy("centre").agg(blocks.alias("blocks")), "centre")
+    out = sized.withColumn("block", F.expr("cast(pmod(xxhash64(sig), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return out.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("blocks", "other")
 
 
 def digests(text: str = "text") -> Column:
@@ -603,8 +560,12 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
         members = materialise(unsettled(labelled.repartition(parts, "h")), "unsettled")
         spent.append(members)
         if members.limit(1).count():
-            more, labels = _settle(placed, members, classes, done, links, labels, parts)
-            spent += more
+            sets = materialise(whole_sets(placed, members.select("sig").distinct(), classes), "unsettled-sets")
+            apart = _dealt(members).join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+            more = materialise(linked_apart(apart.join(sets, "sig").repartition(parts, "centre", "first", "second")), "links-apart")
+            spent += [sets, more]
+            if more.limit(1).count():
+                labels = connected(links.unionByName(more))
 
     named = materialise(classes.join(labels, classes["sig"] == labels["node"], "left").select("sig", "first", F.coalesce("label", "sig").alias("label")), "named")
     discard(*spent)

@@ -84,8 +84,8 @@ def test_near_copies(spark, monkeypatch, seed, slots, bits):
     assert sorted(tuple(r) for r in got) == plain_components(rows)
 
 
-@pytest.mark.parametrize(("dealt", "bits", "rounds"), [(4096, 1 << 14, 8), (16, 64, 3), (16, 1 << 14, 1)])
-def test_near_copies_without_their_original(spark, monkeypatch, dealt, bits, rounds):
+@pytest.mark.parametrize(("dealt", "bits"), [(1 << 14, 1 << 14), (16, 64), (50, 1 << 14)])
+def test_near_copies_without_their_original(spark, monkeypatch, dealt, bits):
     """Many are linked with no star; pairs stay in proportion to the group, and links are all found also with sketches that tell nothing."""
     rng = random.Random(5)
     base = text(rng, 150)
@@ -101,11 +101,11 @@ def test_near_copies_without_their_original(spark, monkeypatch, dealt, bits, rou
         return out
 
     monkeypatch.setattr(jaccard, "materialise", counted)
-    for name, value in (("DEALT", dealt), ("SKETCH_MOST", bits), ("ROUNDS", rounds)):
+    for name, value in (("DEALT", dealt), ("SKETCH_MOST", bits)):
         monkeypatch.setattr(jaccard, name, value, raising=False)
     got = jaccard.near_duplicates(frame(spark, rows)).collect()
     assert sorted(tuple(r) for r in got) == plain_components(rows)
-    if rounds == 8:
+    if dealt > len(rows):
         assert sum(made) < 10 * len(rows)
 
 
